@@ -1,17 +1,24 @@
 """Queries of this subpackage and the DuckDB SQL for those that SQL can express."""
 
 from gridquarry.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from gridquarry.llm.language_id import op4_language_id
 from gridquarry.llm.mixing import op2_mixing
+from gridquarry.llm.packing import op7_packing
+from gridquarry.llm.url_filter import OP6_SQL, op6_url_filter
 
 
 def queries() -> dict:
     return {
         "op2_mixing": op2_mixing,
+        "op4_language_id": op4_language_id,
+        "op6_url_filter": op6_url_filter,
+        "op7_packing": op7_packing,
         "op8_exact_dedup": op8_exact_dedup,
     }
 
 
 def oracles() -> dict:
     return {
+        "op6_url_filter": OP6_SQL,
         "op8_exact_dedup": OP8_SQL,
     }
