@@ -4,13 +4,17 @@ from gridquarry.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from gridquarry.llm.language_id import op4_language_id
 from gridquarry.llm.mixing import op2_mixing
 from gridquarry.llm.packing import op7_packing
+from gridquarry.llm.substring_dedup import OP5_SQL, op5_substring_dedup
+from gridquarry.llm.suffix_dedup import op3_suffix_dedup
 from gridquarry.llm.url_filter import OP6_SQL, op6_url_filter
 
 
 def queries() -> dict:
     return {
         "op2_mixing": op2_mixing,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_language_id": op4_language_id,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_url_filter": op6_url_filter,
         "op7_packing": op7_packing,
         "op8_exact_dedup": op8_exact_dedup,
@@ -19,6 +23,7 @@ def queries() -> dict:
 
 def oracles() -> dict:
     return {
+        "op5_substring_dedup": OP5_SQL,
         "op6_url_filter": OP6_SQL,
         "op8_exact_dedup": OP8_SQL,
     }
