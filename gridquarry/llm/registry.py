@@ -1,5 +1,6 @@
 """Queries of this subpackage and the DuckDB SQL for those that SQL can express."""
 
+from gridquarry.llm.embedding_dedup import op10_embedding_dedup
 from gridquarry.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from gridquarry.llm.language_id import op4_language_id
 from gridquarry.llm.mixing import op2_mixing
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op6_url_filter": op6_url_filter,
         "op7_packing": op7_packing,
         "op8_exact_dedup": op8_exact_dedup,
+        "op10_embedding_dedup": op10_embedding_dedup,
     }
 
 
