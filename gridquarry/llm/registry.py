@@ -4,6 +4,7 @@ from gridquarry.llm.embedding_dedup import op10_embedding_dedup
 from gridquarry.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from gridquarry.llm.language_id import op4_language_id
 from gridquarry.llm.mixing import op2_mixing
+from gridquarry.llm.near_dedup import OP9_SQL, op9_near_dedup
 from gridquarry.llm.packing import op7_packing
 from gridquarry.llm.substring_dedup import OP5_SQL, op5_substring_dedup
 from gridquarry.llm.suffix_dedup import op3_suffix_dedup
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op6_url_filter": op6_url_filter,
         "op7_packing": op7_packing,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_near_dedup": op9_near_dedup,
         "op10_embedding_dedup": op10_embedding_dedup,
     }
 
@@ -28,4 +30,5 @@ def oracles() -> dict:
         "op5_substring_dedup": OP5_SQL,
         "op6_url_filter": OP6_SQL,
         "op8_exact_dedup": OP8_SQL,
+        "op9_near_dedup": OP9_SQL,
     }
