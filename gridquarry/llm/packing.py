@@ -9,6 +9,7 @@ whose number depends on the histogram alone, and each piece finds its place by i
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 
@@ -22,11 +23,11 @@ from gridquarry.llm.common import BUCKET_ROWS, cut, prefix_sums, table
 
 CAPACITY = 2048
 #: Rounds of the multiplicative-weights solver and the share of a length's demand that one round covers at most.
-ROUNDS = 900
+ROUNDS = 300
 STEP = 0.25
 #: Bytes of text that are tokenised at a time, and words whose ids a worker remembers.
 SLICE_BYTES = 4 << 20
-CACHE_WORDS = 150_000
+CACHE_WORDS = 800_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -77,6 +78,12 @@ class WordTokens:
         return ids, ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
 
 
+@functools.cache
+def encoder(path: str) -> WordTokens:
+    """One for each worker process, so that what it remembers lasts over tasks."""
+    return WordTokens(path)
+
+
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32): the ids of each text and then id 0, cut into pieces of ``capacity``.
 
@@ -85,7 +92,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = tokenizer or default_tokenizer()
 
     def run(batches):
-        encode = WordTokens(path)
+        encode = encoder(path)
         for batch in batches:
             ids, text = batch["i"], batch["t"]
             for a, b in _slices(text):
