@@ -3,6 +3,7 @@
 from gridquarry.llm.embedding_dedup import op10_embedding_dedup
 from gridquarry.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from gridquarry.llm.language_id import op4_language_id
+from gridquarry.llm.line_dedup import op1_line_dedup
 from gridquarry.llm.mixing import op2_mixing
 from gridquarry.llm.near_dedup import OP9_SQL, op9_near_dedup
 from gridquarry.llm.packing import op7_packing
@@ -13,6 +14,7 @@ from gridquarry.llm.url_filter import OP6_SQL, op6_url_filter
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_mixing": op2_mixing,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_language_id": op4_language_id,
