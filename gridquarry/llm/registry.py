@@ -1,5 +1,6 @@
 """Queries of this subpackage and the DuckDB SQL for those that SQL can express."""
 
+import corpus_pipeline
 from gridquarry.llm.embedding_dedup import op10_embedding_dedup
 from gridquarry.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from gridquarry.llm.language_id import op4_language_id
@@ -24,11 +25,13 @@ def queries() -> dict:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_near_dedup": op9_near_dedup,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracles() -> dict:
-    return {
+    found = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return found | {
         "op5_substring_dedup": OP5_SQL,
         "op6_url_filter": OP6_SQL,
         "op8_exact_dedup": OP8_SQL,
