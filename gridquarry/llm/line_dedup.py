@@ -8,14 +8,13 @@ joins what is linked. Of each component the first occurrence stays: the smallest
 
 from __future__ import annotations
 
-import gc
 import random
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridquarry.llm.common import components, cut, scratch_dir, table
+from gridquarry.llm.common import components, cut, release, scratch_dir, table
 
 #: Characters of a verified shingle and of a signature shingle; bands and rows of a band.
 SHINGLE, ANCHORED, BANDS, ROWS = 5, 8, 10, 3
@@ -37,12 +36,6 @@ def shingles(line: Column) -> Column:
     return F.when(F.length(line) <= SHINGLE, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?=([\s\S]{{{SHINGLE}}}))"), 1)))
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of stages whose result has been written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, row, pos, line): the lines that are not blank, trimmed; ``row`` is a hash of the document's text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -81,12 +74,12 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     name = f"gridquarry_lines_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     signed.write.format("parquet").option("compression", "zstd").option("path", f"{scratch_dir(spark)}/gridquarry/{name}").bucketBy(buckets, "lid").saveAsTable(name)
-    _release(spark)
+    release(spark)
     lines = spark.table(name)
     banded = lines.select("lid", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(banded.join(shared, "band"), "bands")
-    _release(spark)
+    release(spark)
     few = members.where(F.col("n") <= ALL_PAIRS).select("band", "lid")
     many = members.where(F.col("n") > ALL_PAIRS)
     ends = many.groupBy("band").agg(F.min("lid").alias("x"), F.max("lid").alias("y"))

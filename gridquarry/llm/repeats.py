@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridquarry.llm.common import cut
+from gridquarry.llm.common import cut, release
 
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 #: Symbols handled at a time, names with more blocks than this are hot, and the most bits of one row of a filter.
-SLICE, HOT_BLOCKS, MOST_BITS = 1 << 18, 4096, 29
+SLICE, HOT_BLOCKS, MOST_BITS = 1 << 18, 1 << 16, 29
 #: At most this many names are hot, so that their list can be sent to every worker.
 MOST_HOT = 1 << 16
 _CHUNK = 16
@@ -269,6 +269,7 @@ def filter_bits(entries: int) -> int:
 def exact_filter(found: DataFrame) -> tuple[int, np.ndarray, list[int]]:
     """(bits, bitmap, hot names) from names that Spark has sorted and counted: those that occur once have dropped out."""
     counts = cut(found.groupBy("h").count().where("count > 1"), "ranks")
+    release(found.sparkSession)
     bits = filter_bits(counts.count())
     high, low = cells_of(F.col("h"), bits)
     cells = counts.select(F.explode(F.array(F.struct(F.lit(0).alias("j"), high.alias("cell")), F.struct(F.lit(1).alias("j"), low.alias("cell")))).alias("x")).select("x.*")
