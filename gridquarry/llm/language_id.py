@@ -121,18 +121,22 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     scored = scored.withColumn("domain", F.array_join(F.slice(parts, -F.least(F.size(parts), F.lit(2)), F.least(F.size(parts), F.lit(2))), "."))
     shares = [F.exp(F.col("s")[k] - _log_sum([F.col("s")[j] for j in range(len(langs))])) for k in range(len(langs))]
     said = scored.where(F.col("s")[0] != 0).select("suffix", "domain", "host", *[c.alias(f"c{k}") for k, c in enumerate(shares)])
-    counts = said.groupBy("suffix", "domain", "host").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(langs))])
+    counts = cut(said.groupBy("suffix", "domain", "host").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(langs))]), "hosts")
     # One row: the rate of each language over all rows, which every host falls back on.
     all_rows = counts.agg(F.array(*[(F.coalesce(F.sum(f"c{k}"), F.lit(0.0)) + 1) for k in range(len(langs))]).alias("a")).select(F.transform("a", lambda x: x / F.aggregate("a", F.lit(0.0), lambda p, q: p + q)).alias("p0"))
+    all_rows = cut(all_rows, "rates")
     prior = counts.join(F.broadcast(all_rows))
-    for level, keys in (("suffix", ["suffix"]), ("domain", ["suffix", "domain"]), ("host", ["suffix", "domain", "host"])):
+    # Without addresses there are no suffixes and domains to smooth by.
+    levels = (("suffix", ["suffix"]), ("domain", ["suffix", "domain"]), ("host", ["suffix", "domain", "host"])) if url_col else (("host", ["suffix", "domain", "host"]),)
+    for level, keys in levels:
         sums = counts.groupBy(*keys).agg(F.array(*[F.sum(f"c{k}") for k in range(len(langs))]).alias("c"))
         sums = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("c").alias(f"n_{level}"))
         on = F.lit(True)
         for k in keys:
             on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-        prior = prior.join(sums, on).drop(*[f"_{k}" for k in keys])
-        prior = prior.withColumn("p0", F.when(F.col(level).isNull(), F.col("p0")).otherwise(F.zip_with("p0", f"n_{level}", lambda p, n: (p * PARENT_ROWS + n) / (PARENT_ROWS + F.aggregate(F.col(f"n_{level}"), F.lit(0.0), lambda x, y: x + y)))))
+        smoothed = F.zip_with("p0", f"n_{level}", lambda p, n: (p * PARENT_ROWS + n) / (PARENT_ROWS + F.aggregate(F.col(f"n_{level}"), F.lit(0.0), lambda x, y: x + y)))
+        prior = prior.join(sums, on).drop(*[f"_{k}" for k in keys]).withColumn("p0", F.when(F.col(level).isNull(), F.col("p0")).otherwise(smoothed)).drop(f"n_{level}")
+        prior = cut(prior, "priors")
     prior = prior.select(F.col("suffix").alias("_s"), F.col("domain").alias("_d"), F.col("host").alias("_h"), F.col("p0").alias("prior"))
     joined = scored.join(prior, F.col("suffix").eqNullSafe(F.col("_s")) & F.col("domain").eqNullSafe(F.col("_d")) & F.col("host").eqNullSafe(F.col("_h")), "left").join(F.broadcast(all_rows))
     others = max(1, len(langs) - 1)
