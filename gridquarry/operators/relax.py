@@ -80,40 +80,44 @@ def top_ranked(rows: DataFrame, constraints: Valued, k: int) -> DataFrame:
     return top_k(rows.where(ok).withColumn("rank", rank_of(constraints)), "rank", k, smallest=False)
 
 
-def skyline(rows: DataFrame, goals: Sequence[tuple[str, bool]], rounds: int = 2) -> DataFrame:
-    """``rows`` that no other row dominates over ``goals`` (column, maximise); equal rows all stay, null values never do.
+def skyline(rows: DataFrame, goals: Sequence[tuple[str, bool]]) -> DataFrame:
+    """``rows`` that no other row dominates over ``goals`` (column, maximise); equal rows all stay, null and NaN values never do.
 
-    Each partition first keeps its own skyline over the distinct vectors; what is left meets in an anti-join on dominance.
+    Each partition first keeps the rows of its own skyline, which is all that is held; their distinct vectors then meet in
+    an anti-join on dominance.
     """
+    import numpy as np
     import pyarrow as pa
 
     names = [c for c, _ in goals]
     signs = [1.0 if up else -1.0 for _, up in goals]
 
     def local(batches):
-        import numpy as np
-
-        kept = np.zeros((0, len(names)))
+        kept = None
         for batch in batches:
-            new = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in names], 1) * signs
-            both = np.unique(np.concatenate([kept, new]), axis=0)
-            # Sorted by sum, a vector can only be dominated by one that comes before it.
-            both = both[np.argsort(-both.sum(1), kind="stable")]
-            front: list = []
-            for v in both:
-                held = np.array(front) if front else np.zeros((0, len(names)))
-                if not ((held >= v).all(1) & (held > v).any(1)).any():
-                    front.append(v)
-            kept = np.array(front).reshape(-1, len(names))
-        yield pa.RecordBatch.from_arrays([pa.array(kept[:, k] * signs[k]) for k in range(len(names))], names=names)
-
-    schema = ", ".join(f"`{c}` double" for c in names)
-    vectors = rows.select(*[F.col(c).cast("double").alias(c) for c in names]).dropna().distinct()
-    for _ in range(rounds):
-        vectors = vectors.mapInArrow(local, schema).distinct()
+            new = pa.Table.from_batches([batch])
+            kept = new if kept is None else pa.concat_tables([kept, new])
+            v = np.stack([kept[c].to_numpy().astype(float) for c in names], 1) * signs
+            whole = ~np.isnan(v).any(1)
+            kept, v = kept.filter(pa.array(whole)), v[whole]
+            if not len(v):
+                continue
+            distinct, which = np.unique(v, axis=0, return_inverse=True)
+            # By descending sum, a vector can only be dominated by one that comes before it.
+            front, size, best = np.empty_like(distinct), 0, np.zeros(len(distinct), bool)
+            for k in np.argsort(-distinct.sum(1), kind="stable"):
+                if not (front[:size] >= distinct[k]).all(1).any():
+                    front[size], best[k], size = distinct[k], True, size + 1
+            kept = kept.filter(pa.array(best[which.reshape(-1)]))
+        if kept is not None:
+            yield from kept.to_batches()
+
+    # Read by both sides of the join; lost parts are made again from their lineage.
+    held = rows.mapInArrow(local, rows.schema).persist()
+    vectors = held.select(*[F.col(c).cast("double").alias(c) for c in names]).distinct()
     a, b = vectors.alias("a"), vectors.alias("b")
     better, strictly = F.lit(True), F.lit(False)
-    for (c, up), _ in zip(goals, signs, strict=True):
+    for c, up in goals:
         x, y = F.col(f"a.{c}"), F.col(f"b.{c}")
         better &= (y >= x) if up else (y <= x)
         strictly |= (y > x) if up else (y < x)
@@ -121,7 +125,7 @@ def skyline(rows: DataFrame, goals: Sequence[tuple[str, bool]], rounds: int = 2)
     on = F.lit(True)
     for c in names:
         on &= F.col(c).cast("double") == F.col(f"_{c}")
-    return rows.join(front, on, "left_semi")
+    return held.join(front, on, "left_semi")
 
 
 def dominates(low: Sequence[Column], point: Sequence[Column], maximise: Sequence[bool]) -> Column:
