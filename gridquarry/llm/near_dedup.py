@@ -17,14 +17,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridquarry.llm.common import components, cut, table
-from gridquarry.llm.repeats import K1, K3, _slices, finish, pair
+from gridquarry.llm.common import components, cut, release, table
+from gridquarry.llm.repeats import K1, K3, bitmap, cells_of, filter_bits, finish, may_repeat, pair, slices
 
 TREES, FIRST, LEVELS = 10, 2, 6
 #: Rows that are compared exhaustively at a time.
 NODE = 256
 #: Of TREES * LEVELS sketch bytes, the share that must agree before sets are compared; 4 standard deviations below the threshold.
 SLACK = 4.0
+#: Bins of the second round's sketch: the smallest shingle name of each, as a byte.
+BINS = 512
 _SEEDS = finish(np.arange(1, TREES * LEVELS + 1, dtype=np.uint64) * K1)
 SHINGLES, PERCENT = 5, 80
 
@@ -71,7 +73,18 @@ def _signatures(names: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-_SETS = "id long, row long, n long, c long, c2 long, signature binary"
+def _binned(names: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One row of BINS bytes for each text: of the sorted names that share their highest bits the first, 0 where there is none."""
+    out = np.zeros((len(at) - 1) * BINS, np.uint8)
+    bits = BINS.bit_length() - 1
+    cell = np.repeat(np.arange(len(at) - 1), np.diff(at)) * BINS + (names >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.ones(len(cell), bool)
+    first[1:] = cell[1:] != cell[:-1]
+    out[cell[first]] = 1 + (names[first] >> np.uint64(20)) % np.uint64(255)
+    return out.reshape(-1, BINS)
+
+
+_SETS = "id long, row long, n long, c long, c2 long, signature binary, binned binary"
 _PATHS = "path long, level int, tree int, c long, n long, signature binary"
 
 
@@ -80,7 +93,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, k: int, lower: bool) ->
 
     def run(batches):
         for batch in batches:
-            for a, b in _slices(batch["t"]):
+            for a, b in slices(batch["t"]):
                 names, at = shingle_sets(batch["t"].slice(a, b - a), k, lower)
                 n = np.diff(at)
                 full = np.flatnonzero(n > 0)
@@ -90,7 +103,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, k: int, lower: bool) ->
                     c2[full] = np.add.reduceat(finish(names * K3), at[:-1][full])
                 signed = np.empty(b - a, object)
                 signed[full] = [s.tobytes() for s in _signatures(names, at)]
-                yield pa.RecordBatch.from_arrays([batch["id"].slice(a, b - a), batch["row"].slice(a, b - a), pa.array(n), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(signed.tolist(), pa.binary())], names=["id", "row", "n", "c", "c2", "signature"])
+                yield pa.RecordBatch.from_arrays([batch["id"].slice(a, b - a), batch["row"].slice(a, b - a), pa.array(n), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(signed.tolist(), pa.binary()), pa.array([x.tobytes() for x in _binned(names, at)], pa.binary())], names=["id", "row", "n", "c", "c2", "signature", "binned"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("t"))
@@ -163,49 +176,99 @@ def _alike(sketch: np.ndarray, n: np.ndarray, a: slice, least: int, percent: int
     return np.where((agree >= least) & (100 * small >= percent * large), agree, 0)
 
 
-def _node_pairs(least: int, percent: int, every: bool):
-    """Candidate pairs of a node: each row with its closest partner, or every pair in different components."""
+def _close(binned: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the binned sketches leave it open that pairs reach the threshold, SLACK standard deviations down.
+
+    The bins in use are a sample without replacement of the union, so where they hold nearly all of it little is left open.
+    """
+    p, out = percent / 100, np.zeros(len(i), bool)
+    for k in range(0, len(i), 8192):
+        x, y = binned[i[k : k + 8192]], binned[j[k : k + 8192]]
+        used = ((x != 0) | (y != 0)).sum(1)
+        same = ((x == y) & (x != 0)).sum(1)
+        union = np.maximum((n[i[k : k + 8192]] + n[j[k : k + 8192]]) / (1 + p), used)
+        spread = np.sqrt(p * (1 - p) / np.maximum(used, 1) * (1 - used / (union + 1)))
+        out[k : k + 8192] = same >= used * (p - SLACK * spread) - 1
+    return out
+
+
+def _closest_pairs(least: int, percent: int):
+    """Each row of a node with its closest partner."""
 
     def run(table: pa.Table) -> pa.Table:
         c, n = table["c"].to_numpy(), table["n"].to_numpy()
         _, first = np.unique(c, return_index=True)
         c, n = c[first], n[first]
         sketch = np.frombuffer(b"".join(table["signature"].take(pa.array(first)).to_pylist()), np.uint32).reshape(len(c), -1).astype(np.uint8)
-        root = table["root"].to_numpy()[first] if every else c
-        # In a dense node's chunk the rest are known to be in the pivot's component; only the outsiders ask.
-        outside = table["outside"].to_numpy(zero_copy_only=False)[first] if every else np.ones(len(c), bool)
         out = []
         for k in range(0, len(c), 64):
-            a = slice(k, k + 64)
-            agree = _alike(sketch, n, a, least, percent)
-            agree[root[a, None] == root] = 0
-            if every:
-                agree[~(outside[a, None] | outside)] = 0
-                i, j = np.nonzero(agree)
-                keep = c[i + k] < c[j]
-                i, j = i[keep], j[keep]
-            else:
-                j = agree.argmax(1)
-                i = np.flatnonzero(agree[np.arange(len(j)), j] > 0)
-                j = j[i]
-            out.append((c[i + k], c[j], agree[i, j]))
+            agree = _alike(sketch, n, slice(k, k + 64), least, percent)
+            agree[c[k : k + 64, None] == c] = 0
+            j = agree.argmax(1)
+            i = np.flatnonzero(agree[np.arange(len(j)), j] > 0)
+            out.append((c[i + k], c[j[i]], agree[i, j[i]]))
         a, b, agree = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"a": a, "b": b, "agree": agree.astype(np.int32)})
 
     return run
 
 
+def _open_pairs(least: int, percent: int):
+    """Every pair of a node that may be alike and is in different components.
+
+    In a dense node's chunk the rest are known to be in the pivot's component; only the outsiders ask.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        c, n = table["c"].to_numpy(), table["n"].to_numpy()
+        _, first = np.unique(c, return_index=True)
+        c, n, take = c[first], n[first], pa.array(first)
+        sketch = np.frombuffer(b"".join(table["signature"].take(take).to_pylist()), np.uint32).reshape(len(c), -1).astype(np.uint8)
+        binned = np.frombuffer(b"".join(table["binned"].take(take).to_pylist()), np.uint8).reshape(len(c), -1)
+        root, outside = table["root"].to_numpy()[first], table["outside"].to_numpy(zero_copy_only=False)[first]
+        out = []
+        for k in range(0, len(c), 64):
+            a = slice(k, k + 64)
+            agree = _alike(sketch, n, a, least, percent)
+            agree[(root[a, None] == root) | ~(outside[a, None] | outside)] = 0
+            i, j = np.nonzero(agree)
+            i = i + k
+            once = c[i] < c[j]
+            i, j = i[once], j[once]
+            near = _close(binned, n, i, j, percent)
+            out.append((c[i[near]], c[j[near]]))
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"a": a, "b": b})
+
+    return run
+
+
+def _texts_of(docs: DataFrame, one: DataFrame, text_col: str) -> DataFrame:
+    """(c, t) for rows (c, row): a Bloom filter of bounded size keeps other documents' texts out of the shuffle."""
+    bits = filter_bits(one.count())
+    high, low = cells_of(F.col("row"), bits)
+    cells = one.select(F.explode(F.array(F.struct(F.lit(0).alias("j"), high.alias("cell")), F.struct(F.lit(1).alias("j"), low.alias("cell")))).alias("x")).select("x.*")
+    flags = docs.sparkSession.sparkContext.broadcast(bitmap(cells, bits))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(may_repeat(flags.value, bits, batch["row"].to_numpy().view(np.uint64))))
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    some = docs.select(F.xxhash64(text).alias("row"), text.alias("t")).mapInArrow(run, "row long, t string")
+    return some.join(one, "row").select("c", "t")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str, k: int, lower: bool, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets reach ``percent`` percent; their texts are read again and shingled."""
     pairs = cut(pairs.select("a", "b").distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("c")).unionAll(pairs.select(F.col("b").alias("c"))).distinct()
-    one = rows.groupBy("c").agg(F.min("row").alias("row")).join(wanted, "c")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.xxhash64(text).alias("row"), text.alias("t")).join(one, "row").select("c", "t")
+    one = cut(rows.groupBy("c").agg(F.min("row").alias("row")).join(wanted, "c"), "wanted")
+    texts = _texts_of(docs, one, text_col)
 
     def shingle(batches):
         for batch in batches:
-            for a, b in _slices(batch["t"]):
+            for a, b in slices(batch["t"]):
                 names, at = shingle_sets(batch["t"].slice(a, b - a), k, lower)
                 yield pa.RecordBatch.from_arrays([batch["c"].slice(a, b - a), pa.array([names[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["c", "s"])
 
@@ -234,12 +297,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = sets_of(docs, id_col, text_col, shingle, lower)
     full = rows.where("n > 0").withColumn("c", F.xxhash64("c", "c2", "n"))
-    classes = full.groupBy("c").agg(F.min("n").alias("n"), F.min("signature").alias("signature"))
+    classes = full.groupBy("c").agg(F.min("n").alias("n"), F.min("signature").alias("signature"), F.min("binned").alias("binned"))
     bytes_ = TREES * LEVELS
     p = percent / 100
     least = int(np.floor(bytes_ * p - SLACK * np.sqrt(bytes_ * p * (1 - p))))
-    nodes = tree_nodes(cut(classes, "classes"), node)
-    grouped = nodes.groupBy("path", "chunk").applyInArrow(_node_pairs(least, percent, False), "a long, b long, agree int")
+    classes = cut(classes, "classes")
+    nodes = tree_nodes(classes.drop("binned"), node)
+    release(docs.sparkSession)
+    grouped = nodes.groupBy("path", "chunk").applyInArrow(_closest_pairs(least, percent), "a long, b long, agree int")
     closest = grouped.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
     anchors = nodes.where("pivot").select("path", F.col("c").alias("p")).distinct()
     with_pivot = nodes.where("dense and not pivot").select("path", "c").join(anchors, "path").select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b"))
@@ -253,8 +318,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mixed = cut(placed.withColumn("chunk", F.explode(everywhere)), "mixed")
     # Nodes that lie within one component have nothing left to find.
     open_ = mixed.groupBy("path", "chunk").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("path", "chunk")
-    rest = mixed.join(open_, ["path", "chunk"]).select("path", "chunk", "c", "n", "signature", "root", "outside")
-    late = rest.groupBy("path", "chunk").applyInArrow(_node_pairs(least, percent, True), "a long, b long, agree int")
+    release(docs.sparkSession)
+    rest = mixed.join(open_, ["path", "chunk"]).join(classes.select("c", "binned"), "c").select("path", "chunk", "c", "n", "signature", "binned", "root", "outside")
+    late = rest.groupBy("path", "chunk").applyInArrow(_open_pairs(least, percent), "a long, b long")
     more = confirm(late, docs, full, text_col, shingle, lower, percent)
     roots = components(linked.unionByName(more), "a", "b")
     named = full.select("id", "row", "n", "c").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))

@@ -95,7 +95,7 @@ def blocks(names: np.ndarray, at: np.ndarray, size: int, gram: int) -> Blocks:
 Names = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, object]]
 
 
-def _slices(text: pa.Array) -> Iterable[tuple[int, int]]:
+def slices(text: pa.Array) -> Iterable[tuple[int, int]]:
     import pyarrow.compute as pc
 
     part = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)) // (SLICE * 8)
@@ -114,7 +114,7 @@ def block_names(rows: DataFrame, names: Names, size: int, gram: int) -> DataFram
 
     def run(batches):
         for batch in batches:
-            for a, b in _slices(batch["t"]):
+            for a, b in slices(batch["t"]):
                 symbols, at, _ = names(batch["t"].slice(a, b - a))
                 found = blocks(symbols, at, size, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(found.name.view(np.int64))], names=["h"])
@@ -144,7 +144,7 @@ def bitmap(cells: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _may_repeat(filter_bits: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+def may_repeat(filter_bits: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
     high, low = h >> np.uint64(64 - bits), h & np.uint64((1 << bits) - 1)
     test = lambda row, c: (row[c >> np.uint64(3)] >> (np.uint8(7) - (c & np.uint64(7)).astype(np.uint8))) & 1
     return (test(filter_bits[0], high) & test(filter_bits[1], low)).astype(bool)
@@ -161,10 +161,10 @@ def repeated_blocks(rows: DataFrame, names: Names, payload, windows, size: int,
         flags, frequent = shared.value
         for batch in batches:
             ids, keys = batch["id"].to_numpy(), batch["row"].to_numpy()
-            for a, b in _slices(batch["t"]):
+            for a, b in slices(batch["t"]):
                 symbols, at, raw = names(batch["t"].slice(a, b - a))
                 found = blocks(symbols, at, size, gram)
-                for pick in np.array_split(np.flatnonzero(_may_repeat(flags, bits, found.name)), max(1, len(found.name) // 65536)):
+                for pick in np.array_split(np.flatnonzero(may_repeat(flags, bits, found.name)), max(1, len(found.name) // 65536)):
                     if not len(pick):
                         continue
                     name, row, start, count = found.name[pick].view(np.int64), found.row[pick], found.start[pick], found.count[pick]
