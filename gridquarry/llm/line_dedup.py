@@ -1,9 +1,10 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
-Lines that are equal after trimming are one class. A class's signature holds the minwise values of the character
-shingles that start its words (every character of scripts without spaces starts one), and of its end; lines that share a
-band are candidates, the exact Jaccard similarity of all their character shingles decides, and distributed union-find
-joins what is linked. Of each component the first occurrence stays: the smallest document id, then the place in the text.
+Lines that are equal after trimming are one class. A class's signature holds the minwise values of character shingles of
+varying length: each word with the first characters of the next (in scripts without spaces each character is a word), and
+the line's first and last characters. Lines that share a band are candidates, the Jaccard similarity of all their
+5-character shingles decides, and distributed union-find joins what is linked. Of each component the first occurrence
+stays: the smallest document id, then the place in the text.
 """
 
 from __future__ import annotations
@@ -16,8 +17,13 @@ from pyspark.sql import functions as F
 
 from gridquarry.llm.common import components, cut, release, scratch_dir, table
 
-#: Characters of a verified shingle and of a signature shingle; bands and rows of a band.
-SHINGLE, ANCHORED, BANDS, ROWS = 5, 8, 10, 3
+#: Characters of a verified shingle; characters of the next word that a signature shingle takes; bands and rows of a band.
+SHINGLE, AHEAD, BANDS, ROWS = 5, 2, 10, 3
+#: Of the BANDS * ROWS minwise values of a pair that share a band, so many must agree before the sets are compared; at the
+#: threshold about 20 do, with a standard deviation under 3.
+AGREE = 8
+#: Shingles are cut out of pieces of so many characters, as a place in a text is found by walking to it.
+PIECE = 48
 JACCARD = 0.8
 #: Lines of a band with at most this many all meet. In a larger one each line first meets the band's first and last line;
 #: what the largest component of the band does not hold then meets every line, or, where that is over a quarter of the
@@ -25,15 +31,17 @@ JACCARD = 0.8
 ALL_PAIRS = 12
 _random = random.Random(41)
 _MASKS = [_random.getrandbits(63) for _ in range(BANDS * ROWS)]
-_WORD_START = r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}])"
-_UNSPACED = r"(?=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
-_ANCHORS = rf"(?:{_WORD_START}|{_UNSPACED})(?=([\s\S]{{1,{ANCHORED}}}))"
+#: Scripts without spaces between words (Thai, Lao, Myanmar, Khmer, Kana, Han): each character is a word.
+_UNSPACED = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF])"
 _EDGES = " \t\r\f\u000b "
 
 
 def shingles(line: Column) -> Column:
-    """The distinct runs of SHINGLE characters; a shorter line is one shingle."""
-    return F.when(F.length(line) <= SHINGLE, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?=([\s\S]{{{SHINGLE}}}))"), 1)))
+    """64-bit names of the distinct runs of SHINGLE characters; a shorter line is one shingle."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(line) - SHINGLE + 1, F.lit(1)), F.lit(PIECE))
+    pieces = F.transform(starts, lambda k: F.substr(line, k, F.lit(PIECE + SHINGLE - 1)))
+    inside = lambda piece: F.sequence(F.lit(1), F.greatest(F.length(piece) - SHINGLE + 1, F.lit(1)), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(pieces, lambda piece: F.transform(inside(piece), lambda k: F.xxhash64(F.substr(piece, k, F.lit(SHINGLE)))))))
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -52,33 +60,47 @@ def _meet(one: DataFrame, other: DataFrame, condition: Column) -> DataFrame:
 def _confirmed(pairs: DataFrame, lines: DataFrame, jaccard: float) -> DataFrame:
     """The pairs whose sets of shingles are alike enough."""
     pairs = cut(pairs.distinct(), "pairs")
-    left = pairs.join(lines.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a")
-    both = left.join(lines.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
-    compared = both.select("a", "b", shingles(F.col("la")).alias("sa"), shingles(F.col("lb")).alias("sb"))
+    left = pairs.join(lines.select(F.col("lid").alias("a"), F.col("line").alias("la"), F.col("sig").alias("ga")), "a")
+    both = left.join(lines.select(F.col("lid").alias("b"), F.col("line").alias("lb"), F.col("sig").alias("gb")), "b")
+    agree = F.size(F.filter(F.zip_with("ga", "gb", lambda x, y: x == y), lambda same: same))
+    compared = both.where(agree >= AGREE).select("a", "b", shingles(F.col("la")).alias("sa"), shingles(F.col("lb")).alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     return cut(compared.where(common >= F.lit(jaccard) * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "linked")
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float = JACCARD) -> DataFrame:
-    """Rows (id, row, pos, root): each line that is not blank and its component."""
-    spark = docs.sparkSession
-    placed = occurrences(docs, id_col, text_col).withColumn("lid", F.xxhash64("line"))
+def _store_lines(placed: DataFrame, name: str) -> None:
+    """A table of the distinct lines (lid, line, sig, bands), bucketed by line: reading them for the exact check then needs no shuffle of their texts."""
+    spark = placed.sparkSession
     distinct = placed.select("lid", "line").groupBy("lid").agg(F.first("line").alias("line"))
-    anchored = F.array_distinct(F.concat(F.regexp_extract_all("line", F.lit(_ANCHORS), 1), F.array(F.right("line", F.lit(ANCHORED)))))
+    spaced = F.when(F.col("line").rlike(_UNSPACED), F.regexp_replace("line", _UNSPACED, r" $1 ")).otherwise(F.col("line"))
+    words = distinct.select("lid", F.array_remove(F.split(spaced, " "), "").alias("w"), F.left("line", F.lit(8)).alias("head"), F.right("line", F.lit(8)).alias("tail"))
+    starts = F.transform("w", lambda x, k: F.xxhash64(x, F.left(F.get(F.col("w"), k + 1), F.lit(AHEAD))))
+    hashed = words.select("lid", F.explode(F.concat(starts, F.array(F.xxhash64("head"), F.xxhash64("tail")))).alias("h"))
     # The rows of a line stay in its partition, so these minima need no further shuffle.
-    hashed = distinct.select("lid", "line", F.explode(anchored).alias("s")).select("lid", F.xxhash64("s").alias("h"))
     least = hashed.groupBy("lid").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_MASKS)])
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    signed = distinct.join(least.select("lid", bands.alias("bands")), "lid")
-    # Bucketed by line, so that reading lines for the exact check needs no shuffle of their texts.
-    name = f"gridquarry_lines_{uuid.uuid4().hex}"
+    sig = F.array(*[F.col(f"m{k}").bitwiseAND(F.lit(127)).cast("tinyint") for k in range(BANDS * ROWS)])
+    signed = distinct.join(least.select("lid", bands.alias("bands"), sig.alias("sig")), "lid")
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     signed.write.format("parquet").option("compression", "zstd").option("path", f"{scratch_dir(spark)}/gridquarry/{name}").bucketBy(buckets, "lid").saveAsTable(name)
-    release(spark)
-    lines = spark.table(name)
+
+
+def _shared_bands(lines: DataFrame) -> DataFrame:
+    """Rows (band, lid, n) of the bands that more than one line has."""
     banded = lines.select("lid", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(banded.join(shared, "band"), "bands")
+    return cut(banded.join(shared, "band"), "bands")
+
+
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float = JACCARD) -> DataFrame:
+    """Rows (id, row, pos, root): each line that is not blank and its component."""
+    spark = docs.sparkSession
+    placed = occurrences(docs, id_col, text_col).withColumn("lid", F.xxhash64("line"))
+    name = f"gridquarry_lines_{uuid.uuid4().hex}"
+    _store_lines(placed, name)
+    release(spark)
+    lines = spark.table(name)
+    members = _shared_bands(lines)
     release(spark)
     few = members.where(F.col("n") <= ALL_PAIRS).select("band", "lid")
     many = members.where(F.col("n") > ALL_PAIRS)
