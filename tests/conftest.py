@@ -11,9 +11,9 @@ def spark():
     from pyspark.sql import SparkSession
 
     session = (
-        SparkSession.builder.master("local[8]").appName("gridquarry-tests")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[4]").appName("gridquarry-tests")
+        .config("spark.sql.shuffle.partitions", "2").config("spark.driver.memory", "8g")
+        .config("spark.default.parallelism", "2").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
