@@ -198,8 +198,13 @@ def _spans(ids, rows, starts, size: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(rows[head]), pa.array(starts[head].astype(np.int32)), pa.array((starts[tail] + size).astype(np.int32))] if len(ids) else [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int32())], names=["id", "row", "lo", "hi"])
 
 
-def covered_spans(sent: DataFrame, windows, size: int) -> DataFrame:
-    """Spans (id, row, lo, hi) of symbols covered by windows that also start in a document with a smaller id."""
+def covered_spans(sent: DataFrame, windows, size: int, hot: list[int]) -> DataFrame:
+    """Spans (id, row, lo, hi) of symbols covered by windows that also start in a document with a smaller id.
+
+    Without hot names the blocks are read once, so they go straight into the shuffle.
+    """
+    if hot:
+        sent = cut(sent, "blocks")
 
     def settle(table: pa.Table):
         count = table["n"].to_numpy()
@@ -235,6 +240,8 @@ def covered_spans(sent: DataFrame, windows, size: int) -> DataFrame:
             yield settle(pa.Table.from_batches(held).combine_chunks())
 
     cold = sent.where("not hot").repartition("h").sortWithinPartitions("h").select("h", "id", "row", "start", "n", "data").mapInArrow(run, _SPANS)
+    if not hot:
+        return cold
     lone = sent.where("hot").select("h", "w", "id", "row", "start")
     least = lone.groupBy("h", "w").agg(F.min("id").alias("_least"), F.max("id").alias("_most")).where("_least < _most").drop("_most")
     warm = lone.join(least, ["h", "w"]).where("id > _least").select("id", "row", F.col("start").alias("lo"), (F.col("start") + size).alias("hi"))

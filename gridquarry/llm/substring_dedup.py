@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridquarry.llm.common import cut, table
+from gridquarry.llm.common import table
 from gridquarry.llm.repeats import K3, block_names, covered_spans, doubled, finish, mask, repeated_blocks, sketch_filter, source, with_spans
 
 WINDOW, GRAM = 50, 8
@@ -57,8 +57,8 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = source(docs, id_col, text_col)
     bits, flags, hot = sketch_filter(block_names(rows, _words, window, gram))
-    sent = cut(repeated_blocks(rows, _words, _payload(window), _windows, window, gram, bits, flags, hot), "blocks")
-    joined = with_spans(rows, covered_spans(sent, _windows, window)).select("id", "t", "los", "his")
+    sent = repeated_blocks(rows, _words, _payload(window), _windows, window, gram, bits, flags, hot)
+    joined = with_spans(rows, covered_spans(sent, _windows, window, hot)).select("id", "t", "los", "his")
 
     def run(batches):
         for batch in batches:

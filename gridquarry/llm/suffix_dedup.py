@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridquarry.llm.common import cut, table
+from gridquarry.llm.common import table
 from gridquarry.llm.repeats import block_names, covered_spans, doubled, exact_filter, finish, mask, repeated_blocks, source, with_spans
 
 LENGTH, GRAM = 50, 16
@@ -56,8 +56,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = source(docs, id_col, text_col)
     bits, flags, hot = exact_filter(block_names(rows, _bytes, length, gram))
-    sent = cut(repeated_blocks(rows, _bytes, _payload(length), _windows(length), length, gram, bits, flags, hot), "blocks")
-    joined = with_spans(rows, covered_spans(sent, _windows(length), length)).select("id", "t", "los", "his")
+    sent = repeated_blocks(rows, _bytes, _payload(length), _windows(length), length, gram, bits, flags, hot)
+    joined = with_spans(rows, covered_spans(sent, _windows(length), length, hot)).select("id", "t", "los", "his")
 
     def run(batches):
         for batch in batches:
