@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from gridquarry.llm.common import components, cut, release, scratch_dir, table
 
 #: Characters of a verified shingle; characters of the next word that a signature shingle takes; bands and rows of a band.
-SHINGLE, AHEAD, BANDS, ROWS = 5, 2, 10, 3
+SHINGLE, AHEAD, BANDS, ROWS = 5, 6, 10, 3
 #: Of the BANDS * ROWS minwise values of a pair that share a band, so many must agree before the sets are compared; at the
 #: threshold about 20 do, with a standard deviation under 3.
 AGREE = 8
@@ -107,6 +107,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ends = many.groupBy("band").agg(F.min("lid").alias("x"), F.max("lid").alias("y"))
     star = many.join(ends, "band").select("lid", F.explode(F.array("x", "y")).alias("e")).where("lid <> e").select(F.least("lid", "e").alias("a"), F.greatest("lid", "e").alias("b"))
     linked = _confirmed(_meet(few, few, F.lit(True)).unionAll(star), lines, jaccard)
+    release(spark)
     if not many.isEmpty():
         roots = cut(components(linked, "a", "b").withColumnRenamed("node", "lid"), "roots")
         rooted = cut(many.join(roots, "lid", "left").select("band", "lid", "n", F.coalesce("root", "lid").alias("root")), "rooted")
