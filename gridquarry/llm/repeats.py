@@ -251,6 +251,9 @@ def covered_spans(sent: DataFrame, windows, size: int, hot: list[int]) -> DataFr
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """``rows`` with los and his, the spans of each document."""
     per = spans.distinct().groupBy("id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).select(F.col("id").alias("_i"), F.col("row").alias("_r"), F.col("spans.lo").alias("los"), F.col("spans.hi").alias("his"))
+    # Written before the texts are shuffled, so that the blocks' shuffle files can go first.
+    per = cut(per, "spans")
+    release(rows.sparkSession)
     return rows.join(per, (F.col("id") == F.col("_i")) & (F.col("row") == F.col("_r")), "left").drop("_i", "_r")
 
 
