@@ -26,7 +26,8 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='gridquarry-')}")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage, if the session is still there."""
     try:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -40,7 +41,7 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/gridquarry/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

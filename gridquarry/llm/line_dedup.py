@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridquarry.llm.common import components, cut, release, scratch_dir, table
+from gridquarry.llm.common import components, cut, release, remove, scratch_dir, table
 
 #: Characters of a verified shingle; characters of the next word that a signature shingle takes; bands and rows of a band.
 SHINGLE, AHEAD, BANDS, ROWS = 5, 6, 10, 3
@@ -126,7 +126,10 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         linked = linked.unionAll(_confirmed(dense.unionAll(shared2).unionAll(large), lines, jaccard))
     roots = components(linked, "a", "b").withColumnRenamed("node", "lid")
     out = placed.select("id", "row", "pos", "lid").join(roots, "lid", "left").select("id", "row", "pos", F.coalesce("root", "lid").alias("root"))
-    return cut(out, "lines")
+    out = cut(out, "lines")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    remove(spark, f"{scratch_dir(spark)}/gridquarry/{name}")
+    return out
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float = JACCARD) -> DataFrame:
