@@ -21,7 +21,7 @@ from gridquarry.llm.common import components, cut, release, remove, scratch_dir,
 SHINGLE, AHEAD, BANDS, ROWS = 5, 6, 10, 3
 #: Of the BANDS * ROWS minwise values of a pair that share a band, so many must agree before the sets are compared; at the
 #: threshold about 20 do, with a standard deviation under 3.
-AGREE = 8
+AGREE = 12
 #: Shingles are cut out of pieces of so many characters, as a place in a text is found by walking to it.
 PIECE = 48
 JACCARD = 0.8
