@@ -1,10 +1,9 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
-Lines that are equal after trimming are one class. A class's signature holds the minwise values of character shingles of
-varying length: each word with the first characters of the next (in scripts without spaces each character is a word), and
-the line's first and last characters. Lines that share a band are candidates, the Jaccard similarity of all their
-5-character shingles decides, and distributed union-find joins what is linked. Of each component the first occurrence
-stays: the smallest document id, then the place in the text.
+Lines that are equal after trimming are one class. A class's signature holds the minwise values of all its 5-character
+shingles, the same whose Jaccard similarity decides. Lines that share a band and agree in enough minwise values are
+candidates, the similarity is computed exactly, and distributed union-find joins what is linked. Of each component the
+first occurrence stays: the smallest document id, then the place in the text.
 """
 
 from __future__ import annotations
@@ -17,11 +16,11 @@ from pyspark.sql import functions as F
 
 from gridquarry.llm.common import components, cut, release, remove, scratch_dir, table
 
-#: Characters of a verified shingle; characters of the next word that a signature shingle takes; bands and rows of a band.
-SHINGLE, AHEAD, BANDS, ROWS = 5, 6, 10, 3
-#: Of the BANDS * ROWS minwise values of a pair that share a band, so many must agree before the sets are compared; at the
-#: threshold about 20 do, with a standard deviation under 3.
-AGREE = 12
+#: Characters of a shingle; bands and rows of a band. A pair at the threshold shares no band with (1 - 0.8^3)^10, 8 in 10,000.
+SHINGLE, BANDS, ROWS = 5, 10, 3
+#: Of the BANDS * ROWS minwise values of a pair so many must agree before the sets are compared. At the threshold the number is
+#: binomial (30, 0.8): fewer than 15 agree with 5 in 100,000, and with 1 in 100,000 where the pair shares a band.
+AGREE = 15
 #: Shingles are cut out of pieces of so many characters, as a place in a text is found by walking to it.
 PIECE = 48
 JACCARD = 0.8
@@ -30,18 +29,26 @@ JACCARD = 0.8
 #: band, the lines with which it shares a second band.
 ALL_PAIRS = 12
 _random = random.Random(41)
-_MASKS = [_random.getrandbits(63) for _ in range(BANDS * ROWS)]
-#: Scripts without spaces between words (Thai, Lao, Myanmar, Khmer, Kana, Han): each character is a word.
-_UNSPACED = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF])"
+_MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
+#: Order k of the hashes is that of their bits rotated by TURN * k, under mask k: masks alone would make the orders of few shingles alike.
+TURN = 13
+#: Seven bits of each minwise value go into a byte, and so many bytes into a word of the sketch.
+PACKED = 6
 _EDGES = " \t\r\f\u000b "
 
 
+def _pieces(line: Column) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.length(line) - SHINGLE + 1, F.lit(1)), F.lit(PIECE))
+    return F.transform(starts, lambda k: F.substr(line, k, F.lit(PIECE + SHINGLE - 1)))
+
+
+def _starts(piece: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.length(piece) - SHINGLE + 1, F.lit(1)), F.lit(1))
+
+
 def shingles(line: Column) -> Column:
     """64-bit names of the distinct runs of SHINGLE characters; a shorter line is one shingle."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(line) - SHINGLE + 1, F.lit(1)), F.lit(PIECE))
-    pieces = F.transform(starts, lambda k: F.substr(line, k, F.lit(PIECE + SHINGLE - 1)))
-    inside = lambda piece: F.sequence(F.lit(1), F.greatest(F.length(piece) - SHINGLE + 1, F.lit(1)), F.lit(1))
-    return F.array_distinct(F.flatten(F.transform(pieces, lambda piece: F.transform(inside(piece), lambda k: F.xxhash64(F.substr(piece, k, F.lit(SHINGLE)))))))
+    return F.array_distinct(F.flatten(F.transform(_pieces(line), lambda piece: F.transform(_starts(piece), lambda k: F.xxhash64(F.substr(piece, k, F.lit(SHINGLE)))))))
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -51,19 +58,32 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.withColumn("line", F.btrim("line", F.lit(_EDGES))).where("line <> ''")
 
 
-def _meet(one: DataFrame, other: DataFrame, condition: Column) -> DataFrame:
-    """Pairs (a, b), a < b, of lines of one band."""
-    met = one.withColumnRenamed("lid", "p").join(other.withColumnRenamed("lid", "q"), "band").where((F.col("p") != F.col("q")) & condition)
+def _order(name: str, k: int) -> Column:
+    turn = TURN * k % 64
+    return F.shiftleft(name, turn).bitwiseOR(F.shiftrightunsigned(name, 64 - turn)) if turn else F.col(name)
+
+
+def _agree(one: str, other: str) -> Column:
+    """In how many minwise values two sketches agree: a byte of the exclusive or that is not 0 carries into its highest bit."""
+    low, high = int("7F" * PACKED, 16), int("80" * PACKED, 16)
+    differ = [F.bit_count((F.col(f"{one}.g{k}").bitwiseXOR(F.col(f"{other}.g{k}")) + F.lit(low)).bitwiseAND(F.lit(high))) for k in range(BANDS * ROWS // PACKED)]
+    return F.lit(BANDS * ROWS) - sum(differ[1:], differ[0])
+
+
+def _meet(one: DataFrame, other: DataFrame, on: list[str], condition: Column) -> DataFrame:
+    """Pairs (a, b), a < b, of lines of one band whose sketches are alike enough."""
+    left = one.withColumnsRenamed({"lid": "p", "sig": "gp"})
+    right = other.withColumnsRenamed({"lid": "q", "sig": "gq"})
+    met = left.join(right, on).where(condition & (_agree("gp", "gq") >= AGREE))
     return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def _confirmed(pairs: DataFrame, lines: DataFrame, jaccard: float) -> DataFrame:
     """The pairs whose sets of shingles are alike enough."""
     pairs = cut(pairs.distinct(), "pairs")
-    left = pairs.join(lines.select(F.col("lid").alias("a"), F.col("line").alias("la"), F.col("sig").alias("ga")), "a")
-    both = left.join(lines.select(F.col("lid").alias("b"), F.col("line").alias("lb"), F.col("sig").alias("gb")), "b")
-    agree = F.size(F.filter(F.zip_with("ga", "gb", lambda x, y: x == y), lambda same: same))
-    compared = both.where(agree >= AGREE).select("a", "b", shingles(F.col("la")).alias("sa"), shingles(F.col("lb")).alias("sb"))
+    left = pairs.join(lines.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a")
+    both = left.join(lines.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
+    compared = both.select("a", "b", shingles(F.col("la")).alias("sa"), shingles(F.col("lb")).alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     return cut(compared.where(common >= F.lit(jaccard) * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "linked")
 
@@ -72,24 +92,27 @@ def _store_lines(placed: DataFrame, name: str) -> None:
     """A table of the distinct lines (lid, line, sig, bands), bucketed by line: reading them for the exact check then needs no shuffle of their texts."""
     spark = placed.sparkSession
     distinct = placed.select("lid", "line").groupBy("lid").agg(F.first("line").alias("line"))
-    spaced = F.when(F.col("line").rlike(_UNSPACED), F.regexp_replace("line", _UNSPACED, r" $1 ")).otherwise(F.col("line"))
-    words = distinct.select("lid", F.array_remove(F.split(spaced, " "), "").alias("w"), F.left("line", F.lit(8)).alias("head"), F.right("line", F.lit(8)).alias("tail"))
-    starts = F.transform("w", lambda x, k: F.xxhash64(x, F.left(F.get(F.col("w"), k + 1), F.lit(AHEAD))))
-    hashed = words.select("lid", F.explode(F.concat(starts, F.array(F.xxhash64("head"), F.xxhash64("tail")))).alias("h"))
+    pieces = distinct.select("lid", F.explode(_pieces(F.col("line"))).alias("piece"))
+    hashed = pieces.select("lid", "piece", F.explode(_starts(F.col("piece"))).alias("k")).select("lid", F.xxhash64(F.substr("piece", "k", F.lit(SHINGLE))).alias("h"))
     # The rows of a line stay in its partition, so these minima need no further shuffle.
-    least = hashed.groupBy("lid").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_MASKS)])
+    least = hashed.groupBy("lid").agg(*[F.min(_order("h", k).bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_MASKS)])
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    sig = F.array(*[F.col(f"m{k}").bitwiseAND(F.lit(127)).cast("tinyint") for k in range(BANDS * ROWS)])
-    signed = distinct.join(least.select("lid", bands.alias("bands"), sig.alias("sig")), "lid")
+    words = []
+    for k in range(0, BANDS * ROWS, PACKED):
+        word = F.lit(0).cast("long")
+        for j in range(PACKED):
+            word = word.bitwiseOR(F.shiftleft(F.col(f"m{k + j}").bitwiseAND(F.lit(127)), 8 * j))
+        words.append(word.alias(f"g{k // PACKED}"))
+    signed = distinct.join(least.select("lid", bands.alias("bands"), F.struct(*words).alias("sig")), "lid")
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     signed.write.format("parquet").option("compression", "zstd").option("path", f"{scratch_dir(spark)}/gridquarry/{name}").bucketBy(buckets, "lid").saveAsTable(name)
 
 
 def _shared_bands(lines: DataFrame) -> DataFrame:
-    """Rows (band, lid, n) of the bands that more than one line has."""
+    """Rows (lid, band, n, sig) of the bands that more than one line has."""
     banded = lines.select("lid", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return cut(banded.join(shared, "band"), "bands")
+    return cut(banded.join(shared, "band").join(lines.select("lid", "sig"), "lid"), "bands")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float = JACCARD) -> DataFrame:
@@ -102,26 +125,27 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = spark.table(name)
     members = _shared_bands(lines)
     release(spark)
-    few = members.where(F.col("n") <= ALL_PAIRS).select("band", "lid")
+    few = members.where(F.col("n") <= ALL_PAIRS).select("band", "lid", "sig")
     many = members.where(F.col("n") > ALL_PAIRS)
-    ends = many.groupBy("band").agg(F.min("lid").alias("x"), F.max("lid").alias("y"))
-    star = many.join(ends, "band").select("lid", F.explode(F.array("x", "y")).alias("e")).where("lid <> e").select(F.least("lid", "e").alias("a"), F.greatest("lid", "e").alias("b"))
-    linked = _confirmed(_meet(few, few, F.lit(True)).unionAll(star), lines, jaccard)
+    ends = many.groupBy("band").agg(F.min(F.struct("lid", "sig")).alias("x"), F.max(F.struct("lid", "sig")).alias("y"))
+    ends = ends.select("band", F.explode(F.array("x", "y")).alias("e")).select("band", "e.lid", "e.sig")
+    star = _meet(many.select("band", "lid", "sig"), ends, ["band"], F.col("p") != F.col("q"))
+    linked = _confirmed(_meet(few, few, ["band"], F.col("p") < F.col("q")).unionAll(star), lines, jaccard)
     release(spark)
     if not many.isEmpty():
         roots = cut(components(linked, "a", "b").withColumnRenamed("node", "lid"), "roots")
-        rooted = cut(many.join(roots, "lid", "left").select("band", "lid", "n", F.coalesce("root", "lid").alias("root")), "rooted")
+        rooted = cut(many.join(roots, "lid", "left").select("band", "lid", "n", "sig", F.coalesce("root", "lid").alias("root")), "rooted")
         homes = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.max(F.struct("k", "root")).alias("h"))
-        rooted = rooted.join(homes, "band").select("band", "lid", "root", (F.col("root") == F.col("h.root")).alias("home"), ((F.col("n") - F.col("h.k")) * 4 > F.col("n")).alias("loose"))
+        rooted = rooted.join(homes, "band").select("band", "lid", "sig", "root", (F.col("root") == F.col("h.root")).alias("home"), ((F.col("n") - F.col("h.k")) * 4 > F.col("n")).alias("loose"))
         apart = F.col("_root") != F.col("root")
-        dense = _meet(rooted.where("not loose and not home").select("band", "lid", "root"), rooted.where("not loose").select("band", "lid", F.col("root").alias("_root")), apart)
-        loose = rooted.where("loose").select("band", "lid", "root")
+        dense = _meet(rooted.where("not loose and not home").select("band", "lid", "sig", "root"), rooted.where("not loose").select("band", "lid", "sig", F.col("root").alias("_root")), ["band"], apart)
+        loose = rooted.where("loose").select("band", "lid", "sig", "root")
         second = loose.join(members.select("lid", F.col("band").alias("band2")), "lid").where("band <> band2")
-        second = second.select(F.xxhash64("band", "band2").alias("band"), "lid", "root")
+        second = second.select(F.xxhash64("band", "band2").alias("band"), "lid", "sig", "root")
         counted = second.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("lid").alias("x"), F.max("lid").alias("y")).where("n > 1")
         second = second.join(counted, "band")
         small = second.where(F.col("n") <= ALL_PAIRS)
-        shared2 = _meet(small.select("band", "lid", "root"), small.select("band", "lid", F.col("root").alias("_root")), apart)
+        shared2 = _meet(small.select("band", "lid", "sig", "root"), small.select("band", "lid", "sig", F.col("root").alias("_root")), ["band"], apart)
         large = second.where(F.col("n") > ALL_PAIRS).select("lid", F.explode(F.array("x", "y")).alias("e")).where("lid <> e").select(F.least("lid", "e").alias("a"), F.greatest("lid", "e").alias("b"))
         linked = linked.unionAll(_confirmed(dense.unionAll(shared2).unionAll(large), lines, jaccard))
     roots = components(linked, "a", "b").withColumnRenamed("node", "lid")

@@ -51,3 +51,20 @@ def test_op1_on_a_table_finds_what_brute_force_finds(spark):
     assert len(got) == len(table)
     found = sum(len(v) for v in got.values())
     assert found >= 0.99 * sum(map(len, want.values())) and all(set(v) <= set(want.get(i, [])) for i, v in got.items())
+
+
+def found_and_wanted(spark, lines):
+    rows = [(k, line) for k, line in enumerate(lines)]
+    got = {r["id"] for r in removed_lines(docs(spark, rows).repartition(3)).collect()}
+    return got, set(brute_force(rows))
+
+
+def test_lines_without_spaces_are_candidates_by_all_their_shingles(spark):
+    rng = random.Random(6)
+    some = lambda n, of="abcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.choices(of, k=n))
+    lines = []
+    for _ in range(40):
+        url, code, row = "http://" + some(90), some(100), [some(11) for _ in range(9)]
+        lines += [url, "https" + url[4:], code, "#" + code[1:-1] + "#", "\t".join(["2024-01-05", *row, "17"]), "\t".join(["2024-01-06", *row, "18"])]
+    got, want = found_and_wanted(spark, lines)
+    assert len(want) >= 110 and len(got & want) >= 0.98 * len(want) and got <= want
