@@ -25,9 +25,10 @@ AGREE = 15
 PIECE = 48
 JACCARD = 0.8
 #: Lines of a band with at most this many all meet. In a larger one each line first meets the band's first and last line;
-#: what the largest component of the band does not hold then meets every line, or, where that is over a quarter of the
-#: band, the lines with which it shares a second band.
+#: then each line that the band's largest component does not hold meets every line of another component.
 ALL_PAIRS = 12
+#: Lines of a large band meet in blocks of about so many by so many.
+BLOCK = 256
 _random = random.Random(41)
 _MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
 #: Order k of the hashes is that of their bits rotated by TURN * k, under mask k: masks alone would make the orders of few shingles alike.
@@ -115,6 +116,23 @@ def _shared_bands(lines: DataFrame) -> DataFrame:
     return cut(banded.join(shared, "band").join(lines.select("lid", "sig"), "lid"), "bands")
 
 
+def _blocks(many: DataFrame, linked: DataFrame) -> DataFrame:
+    """Pairs of lines of large bands that no link joins yet: each line outside the band's largest component meets all of other components."""
+    roots = cut(components(linked, "a", "b").withColumnRenamed("node", "lid"), "roots")
+    rooted = cut(many.join(roots, "lid", "left").select("band", "lid", "n", "sig", F.coalesce("root", "lid").alias("root")), "rooted")
+    homes = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.max(F.struct("k", "root")).alias("h"))
+    rooted = rooted.join(homes, "band").where("n > h.k")
+    # At least 1, as filters on the blocks may run before the one above.
+    outside = F.greatest(F.ceil((F.col("n") - F.col("h.k")) / BLOCK).cast("int"), F.lit(1))
+    whole = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rooted.select("band", "lid", "sig", "root", (F.col("root") == F.col("h.root")).alias("home"), outside.alias("outside"), whole.alias("whole"))
+    own = lambda count: F.pmod(F.xxhash64("lid"), F.col(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    one = dealt.where("not home").select("band", "lid", "sig", "root", own("outside").alias("i"), each("whole").alias("j"))
+    other = dealt.select("band", "lid", "sig", F.col("root").alias("_root"), "home", each("outside").alias("i"), own("whole").alias("j"))
+    return _meet(one, other, ["band", "i", "j"], (F.col("_root") != F.col("root")) & (F.col("home") | (F.col("p") < F.col("q"))))
+
+
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float = JACCARD) -> DataFrame:
     """Rows (id, row, pos, root): each line that is not blank and its component."""
     spark = docs.sparkSession
@@ -133,21 +151,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     linked = _confirmed(_meet(few, few, ["band"], F.col("p") < F.col("q")).unionAll(star), lines, jaccard)
     release(spark)
     if not many.isEmpty():
-        roots = cut(components(linked, "a", "b").withColumnRenamed("node", "lid"), "roots")
-        rooted = cut(many.join(roots, "lid", "left").select("band", "lid", "n", "sig", F.coalesce("root", "lid").alias("root")), "rooted")
-        homes = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.max(F.struct("k", "root")).alias("h"))
-        rooted = rooted.join(homes, "band").select("band", "lid", "sig", "root", (F.col("root") == F.col("h.root")).alias("home"), ((F.col("n") - F.col("h.k")) * 4 > F.col("n")).alias("loose"))
-        apart = F.col("_root") != F.col("root")
-        dense = _meet(rooted.where("not loose and not home").select("band", "lid", "sig", "root"), rooted.where("not loose").select("band", "lid", "sig", F.col("root").alias("_root")), ["band"], apart)
-        loose = rooted.where("loose").select("band", "lid", "sig", "root")
-        second = loose.join(members.select("lid", F.col("band").alias("band2")), "lid").where("band <> band2")
-        second = second.select(F.xxhash64("band", "band2").alias("band"), "lid", "sig", "root")
-        counted = second.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("lid").alias("x"), F.max("lid").alias("y")).where("n > 1")
-        second = second.join(counted, "band")
-        small = second.where(F.col("n") <= ALL_PAIRS)
-        shared2 = _meet(small.select("band", "lid", "sig", "root"), small.select("band", "lid", "sig", F.col("root").alias("_root")), ["band"], apart)
-        large = second.where(F.col("n") > ALL_PAIRS).select("lid", F.explode(F.array("x", "y")).alias("e")).where("lid <> e").select(F.least("lid", "e").alias("a"), F.greatest("lid", "e").alias("b"))
-        linked = linked.unionAll(_confirmed(dense.unionAll(shared2).unionAll(large), lines, jaccard))
+        linked = linked.unionAll(_confirmed(_blocks(many, linked), lines, jaccard))
     roots = components(linked, "a", "b").withColumnRenamed("node", "lid")
     out = placed.select("id", "row", "pos", "lid").join(roots, "lid", "left").select("id", "row", "pos", F.coalesce("root", "lid").alias("root"))
     out = cut(out, "lines")

@@ -68,3 +68,15 @@ def test_lines_without_spaces_are_candidates_by_all_their_shingles(spark):
         lines += [url, "https" + url[4:], code, "#" + code[1:-1] + "#", "\t".join(["2024-01-05", *row, "17"]), "\t".join(["2024-01-06", *row, "18"])]
     got, want = found_and_wanted(spark, lines)
     assert len(want) >= 110 and len(got & want) >= 0.98 * len(want) and got <= want
+
+
+def test_near_copies_in_a_template_with_many_variants_meet(spark):
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    template = [some(7) for _ in range(14)]
+    lines = []
+    for _ in range(500):
+        own = " ".join([*template, *(some(7) for _ in range(5))])
+        lines += [own, own[:-9] + some(9)]
+    got, want = found_and_wanted(spark, lines)
+    assert len(want) >= 400 and len(got & want) >= 0.99 * len(want) and got <= want
