@@ -2,8 +2,9 @@
 
 The lengths of the pieces form a histogram of at most ``capacity`` entries, whatever the size of the corpus. On it the
 configuration linear program (fewest sequences, each length covered) is solved by multiplicative weights: the weight of
-a length falls as it gets covered, and an unbounded knapsack over the weights prices the next configuration. The solution
-is rounded down; what is left goes by best fit decreasing. The plan then holds (length, rank range) -> sequence rows,
+a length falls as it gets covered, and an unbounded knapsack over the weights prices the next configuration, of which a
+whole number is taken, until every length is covered. Sequences with room left are packed anew by best fit decreasing; where
+best fit alone needs fewer sequences it is taken. The plan then holds (length, rank range) -> sequence rows,
 whose number depends on the histogram alone, and each piece finds its place by its rank among pieces of its length.
 """
 
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 from gridquarry.llm.common import BUCKET_ROWS, cut, prefix_sums, table
 
 CAPACITY = 2048
-#: Rounds of the multiplicative-weights solver and the share of a length's demand that one round covers at most.
-ROUNDS = 300
+#: The share of a length's demand that one round of the multiplicative-weights solver covers at most, or one sequence where that is more.
 STEP = 0.25
+#: A round takes at most so many configurations, all worth at least this share of the best one.
+COLUMNS, WORTH = 32, 0.999
 #: Bytes of text that are tokenised at a time, and words whose ids a worker remembers.
 SLICE_BYTES = 4 << 20
 CACHE_WORDS = 800_000
@@ -111,65 +113,100 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, _PIECES)
 
 
-def price(value: np.ndarray, demand: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of greatest value: a knapsack of ``capacity`` over lengths with value[length], lengths without demand left out."""
-    lengths = np.flatnonzero(demand[: capacity + 1] > 0)
-    worth = value[lengths]
-    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if upto[c]:
-            total = worth[: upto[c]] + best[c - lengths[: upto[c]]]
-            k = int(total.argmax())
-            if total[k] > best[c]:
-                best[c], pick[c] = total[k], lengths[k]
-    made: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if pick[c]:
-            made[int(pick[c])] = made.get(int(pick[c]), 0) + 1
-            c -= int(pick[c])
-        else:
-            c -= 1
-    return {k: min(n, int(demand[k])) for k, n in made.items()}
-
-
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[list[int], int]]:
-    """(lengths of one sequence, how many such sequences) that hold the histogram exactly."""
+def price(value: np.ndarray, capacity: int) -> list[list[int]]:
+    """The lengths of the configurations of greatest value, the best first: knapsacks of ``capacity`` over lengths with value[length] > 0."""
+    best = np.zeros(capacity + 1)
+    sums = np.empty(capacity + 1)
+    for c in range(capacity):
+        if best[c + 1] < best[c]:
+            best[c + 1] = best[c]
+        part = np.add(value[1 : capacity + 1 - c], best[c], out=sums[: capacity - c])
+        np.maximum(best[c + 1 :], part, out=best[c + 1 :])
+    # The value of the best configuration with each length.
+    lengths = np.flatnonzero(value > 0)
+    total = value[lengths] + best[capacity - lengths]
+    order = np.argsort(-total, kind="stable")[:COLUMNS]
+    made = []
+    for k in order[total[order] >= WORTH * total[order[0]]]:
+        one = [int(lengths[k])]
+        c = capacity - one[0]
+        while best[c] > 0:
+            part = value[1 : c + 1] + best[c - 1 :: -1][:c] if c else sums[:0]
+            part = np.where(value[1 : c + 1] > 0, part, -1)
+            length = int(part.argmax()) + 1
+            one.append(length)
+            c -= length
+        made.append(one)
+    return made
+
+
+def fill(made: list[int], left: np.ndarray, capacity: int) -> dict[int, int]:
+    """``made`` as far as the demand that is left holds it, and the longest lengths that fit into the rest."""
+    out: dict[int, int] = {}
+    free = capacity
+    for length in made:
+        if out.get(length, 0) < left[length]:
+            out[length] = out.get(length, 0) + 1
+            free -= length
+    while free:
+        spare = left[: free + 1] > 0
+        for length, n in out.items():
+            if length <= free and left[length] <= n:
+                spare[length] = False
+        fits = np.flatnonzero(spare)
+        if not len(fits):
+            break
+        length = int(fits[-1])
+        out[length] = out.get(length, 0) + 1
+        free -= length
+    return out
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int | None = None, step: float = STEP) -> list[tuple[list[int], int]]:
+    """(lengths of one sequence, how many such sequences) that hold the histogram exactly; ``rounds`` ends the program early."""
     demand = np.zeros(capacity + 1)
     for length, n in histogram.items():
         demand[length] = n
     # A piece of full length fills a sequence by itself.
     plan = [([capacity], int(demand[capacity]))] if demand[capacity] else []
     demand[capacity] = 0
+    chosen, left = cover(demand, capacity, rounds, step)
+    full, again = [], left
+    for made, times in chosen.items():
+        if sum(k * n for k, n in made) == capacity:
+            full.append(([k for k, n in made for _ in range(n)], times))
+        else:
+            for k, n in made:
+                again[k] += n * times
+    # Sequences that the program leaves with room are packed anew, and the program has to be as good as best fit alone.
+    plans = [full + best_fit(again.astype(np.int64), capacity), best_fit(demand.astype(np.int64), capacity)]
+    return plan + min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def cover(demand: np.ndarray, capacity: int, rounds: int | None = None, step: float = STEP) -> tuple[dict[tuple, int], np.ndarray]:
+    """Configurations ((length, count), ...) with whole multiples, and the demand that they leave: none unless ``rounds`` ends the program early.
+
+    A length's weight falls as it gets covered and is gone once it is, and each round takes a whole number of the
+    configurations that the weights price highest. So each round places pieces, and nothing is left to round.
+    """
     left, chosen = demand.copy(), {}
     size = np.arange(capacity + 1) / capacity
-    if demand.sum():
-        covered = np.zeros(capacity + 1)
-        live = demand > 0
-        for _ in range(rounds):
-            weight = np.zeros(capacity + 1)
-            weight[live] = size[live] * np.exp(-covered[live])
-            made = price(weight, demand, capacity)
-            if not made:
-                break
-            amount = step * min(demand[k] / n for k, n in made.items())
+    done = 0
+    while left.any() and (rounds is None or done < rounds):
+        live = left > 0
+        weight = np.zeros(capacity + 1)
+        weight[live] = size[live] * np.exp(left[live] / demand[live] - 1)
+        for column in price(weight, capacity):
+            if not left[column[0]]:
+                continue
+            made = fill(column, left, capacity)
+            times = int(max(1, min(min(step * demand[k], left[k]) // n for k, n in made.items())))
             key = tuple(sorted(made.items(), reverse=True))
-            chosen[key] = chosen.get(key, 0.0) + amount
+            chosen[key] = chosen.get(key, 0) + times
             for k, n in made.items():
-                covered[k] += amount * n / demand[k]
-            if covered[live].min() >= 1:
-                break
-    # Fullest configurations first; each is taken as often as the program says, rounded down, while demand lasts.
-    waste = lambda made: capacity - sum(k * n for k, n in made)
-    for made, amount in sorted(chosen.items(), key=lambda x: (waste(x[0]), -x[0][0][0], x[0])):
-        times = int(min(np.floor(amount + 1e-9), *(left[k] // n for k, n in made)))
-        if times > 0:
-            plan.append(([k for k, n in made for _ in range(n)], times))
-            for k, n in made:
                 left[k] -= n * times
-    return plan + best_fit(left.astype(np.int64), capacity)
+        done += 1
+    return chosen, left
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
@@ -199,7 +236,7 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
     return [x for same in room.values() for x in same]
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int | None = None) -> DataFrame:
     """``pieces`` with sequence_id and offset. Needs columns doc_id, piece, length, ids_crc32; lengths are 1 to ``capacity``."""
     spark = pieces.sparkSession
     # At most ``capacity`` rows come to the driver.

@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from gridquarry.llm.language_id import identify, keep_identified
-from gridquarry.llm.packing import pack, pack_documents, solve
+from gridquarry.llm.packing import cover, pack, pack_documents, solve
 from gridquarry.llm.url_filter import judge
 
 DOCS = "doc_id long, text string, lang string, source string, row int, id string, s int, length int, rank int"
@@ -133,3 +133,19 @@ def test_packing_ranks_a_hot_length_over_buckets(spark):
     got = pack(pieces, 64, rounds=100).collect()
     assert len(got) == 5000
     check_packing(got, 64)
+
+
+@pytest.mark.parametrize("n", [300, 20000])
+def test_the_program_covers_every_length(n):
+    rng = np.random.default_rng(5)
+    demand = np.bincount(np.clip((rng.lognormal(4.5, 1, n) + 1).astype(int), 1, 511), minlength=513).astype(float)
+    chosen, left = cover(demand, 512)
+    held = np.zeros(513)
+    for made, times in chosen.items():
+        assert sum(k * c for k, c in made) <= 512 and times == int(times) > 0
+        for k, c in made:
+            held[k] += c * times
+    assert not left.any() and (held == demand).all()
+    lengths = {k: int(c) for k, c in enumerate(demand) if c}
+    bound = -(-int(demand @ np.arange(513)) // 512)
+    assert sum(t for _, t in solve(lengths, 512)) <= 1.002 * bound + 2
