@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,10 +18,12 @@ _own: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that every executor can reach: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that every executor can reach: spark.checkpoint.dir. Only a local session may leave it unset; it gets a folder of its own."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if place:
         return place.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return _own.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='gridquarry-')}")
 
 
@@ -36,24 +37,37 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
+#: While it is on, Spark drops an execution's shuffle files when the execution ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of the writes inside go as soon as each is complete: what it wrote replaces them."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/gridquarry/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of stages whose result has been written.
 
-    The first round lets go of what Python held, the second of what that held in the JVM.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def discard(*cuts: DataFrame) -> None:
+    """Delete what ``cut`` wrote for tables that nothing will read any more."""
+    for df in cuts:
+        remove(df.sparkSession, df.cut_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
-Lines that are equal after trimming are one class. A class's signature holds the minwise values of all its 5-character
-shingles, the same whose Jaccard similarity decides. Lines that share a band and agree in enough minwise values are
-candidates, the similarity is computed exactly, and distributed union-find joins what is linked. Of each component the
+Lines that are equal after trimming are one class. A class's signature holds minwise values of all its 5-character
+shingles, the same whose Jaccard similarity decides. Lines that share a band are candidates unless bitmaps of their sets
+prove them too different, the similarity is computed exactly, and distributed union-find joins what is linked. Of each component the
 first occurrence stays: the smallest document id, then the place in the text.
 """
 
@@ -14,42 +14,43 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridquarry.llm.common import components, cut, release, remove, scratch_dir, table
+from gridquarry.llm.common import components, cut, discard, remove, scratch_dir, table, tidy
 
-#: Characters of a shingle; bands and rows of a band. A pair at the threshold shares no band with (1 - 0.8^3)^10, 8 in 10,000.
-SHINGLE, BANDS, ROWS = 5, 10, 3
-#: Of the BANDS * ROWS minwise values of a pair so many must agree before the sets are compared. At the threshold the number is
-#: binomial (30, 0.8): fewer than 15 agree with 5 in 100,000, and with 1 in 100,000 where the pair shares a band.
-AGREE = 15
-#: Shingles are cut out of pieces of so many characters, as a place in a text is found by walking to it.
-PIECE = 48
+#: Characters of a shingle; bands and rows of a band. A pair at the threshold shares no band with (1 - 0.8^5)^12, 9 in 1,000.
+SHINGLE, BANDS, ROWS = 5, 12, 5
+#: Minwise values are taken in ORDERS orders of the hashes of each of BINS bins. Value k is that of bin k % BINS in order k // BINS.
+BINS, ORDERS = 16, 4
 JACCARD = 0.8
-#: Lines of a band with at most this many all meet. In a larger one each line first meets the band's first and last line;
-#: then each line that the band's largest component does not hold meets every line of another component.
+#: Lines of a band with at most this many all meet. In a larger one each line first meets two lines of the band that differ from
+#: band to band; then each line that the band's largest component does not hold meets every line of another component.
 ALL_PAIRS = 12
 #: Lines of a large band meet in blocks of about so many by so many.
 BLOCK = 256
 _random = random.Random(41)
-_MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
-#: Order k of the hashes is that of their bits rotated by TURN * k, under mask k: masks alone would make the orders of few shingles alike.
-TURN = 13
-#: Seven bits of each minwise value go into a byte, and so many bytes into a word of the sketch.
-PACKED = 6
-_EDGES = " \t\r\f\u000b "
+_MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range(ORDERS)]
+#: Order j of the hashes is that of their bits rotated by TURN * j, under mask j.
+TURN = 17
+#: Words of 64 bits in a line's bitmap: a coarse one for all lines that share a band, a fine one for those of large bands.
+COARSE, FINE = 16, 64
+#: Bytes of a character in the fixed-width encoding that shingles are cut out of.
+WIDE = 4
+_EDGES = " \t\r\f\u000b "
 
 
-def _pieces(line: Column) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.length(line) - SHINGLE + 1, F.lit(1)), F.lit(PIECE))
-    return F.transform(starts, lambda k: F.substr(line, k, F.lit(PIECE + SHINGLE - 1)))
+def _starts(wide: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.length(wide) - WIDE * (SHINGLE - 1), F.lit(1)), F.lit(WIDE))
 
 
-def _starts(piece: Column) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.length(piece) - SHINGLE + 1, F.lit(1)), F.lit(1))
+def _name(wide: Column, start: Column) -> Column:
+    return F.xxhash64(F.substr(wide, start, F.lit(WIDE * SHINGLE)))
 
 
-def shingles(line: Column) -> Column:
-    """64-bit names of the distinct runs of SHINGLE characters; a shorter line is one shingle."""
-    return F.array_distinct(F.flatten(F.transform(_pieces(line), lambda piece: F.transform(_starts(piece), lambda k: F.xxhash64(F.substr(piece, k, F.lit(SHINGLE)))))))
+def shingles(wide: Column) -> Column:
+    """64-bit names of the runs of SHINGLE characters of a line in UTF-32, repeats included; a shorter line is one shingle.
+
+    The outer function holds the line as a variable: a column would be copied out of its row for every shingle.
+    """
+    return F.transform(F.array(wide), lambda line: F.transform(_starts(line), lambda k: _name(line, k)))[0]
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -59,78 +60,125 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.withColumn("line", F.btrim("line", F.lit(_EDGES))).where("line <> ''")
 
 
-def _order(name: str, k: int) -> Column:
-    turn = TURN * k % 64
-    return F.shiftleft(name, turn).bitwiseOR(F.shiftrightunsigned(name, 64 - turn)) if turn else F.col(name)
+def _order(name: str, j: int) -> Column:
+    turn = TURN * j % 64
+    turned = F.shiftleft(name, turn).bitwiseOR(F.shiftrightunsigned(name, 64 - turn)) if turn else F.col(name)
+    return turned.bitwiseXOR(F.lit(_MASKS[j]))
+
+
+def _named(lines: DataFrame) -> DataFrame:
+    """Rows (lid, h): the shingle names of rows (lid, line)."""
+    wide = lines.select("lid", F.encode("line", "UTF-32").alias("u"))
+    return wide.select("lid", "u", F.explode(_starts(F.col("u"))).alias("k")).select("lid", _name(F.col("u"), F.col("k")).alias("h"))
+
+
+def signatures(distinct: DataFrame) -> DataFrame:
+    """Rows (lid, bands) for rows (lid, line) that lie together by lid: nothing here needs a shuffle.
+
+    The bin of a hash is its highest bits, so a shingle is compared in the orders of its bin alone. A bin without shingles
+    takes the values of the nearest bin by exclusive or, which makes value k the minimum of one order of all hashes.
+    """
+    bits = BINS.bit_length() - 1
+    binned = _named(distinct).groupBy("lid", F.shiftrightunsigned("h", 64 - bits).alias("bin")).agg(*[F.min(_order("h", j)).alias(f"o{j}") for j in range(ORDERS)])
+    places = [(b, j) for j in range(ORDERS) for b in range(BINS)][: BANDS * ROWS]
+    spread = binned.groupBy("lid").agg(*[F.min(F.when(F.col("bin") == b, F.col(f"o{j}"))).alias(f"v{b}_{j}") for j in range(ORDERS) for b in range(BINS)])
+    least = spread.select("lid", *[F.coalesce(*[F.col(f"v{b ^ x}_{j}") for x in range(BINS)]).alias(f"m{k}") for k, (b, j) in enumerate(places)])
+    return least.select("lid", F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
+
+
+def _with_sets(members: DataFrame, lines: DataFrame, words: int) -> DataFrame:
+    """``members`` with sig: the number of the line's shingles, its bitmap in ``words`` words and its bands."""
+    wanted = members.select("lid").distinct()
+    some = lines.join(wanted, "lid", "left_semi")
+    names = _named(some)
+    word = F.pmod("h", F.lit(words))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 40).bitwiseAND(F.lit(63)).cast("int"))
+    parts = names.groupBy("lid", word.alias("word")).agg(F.count(F.lit(1)).alias("n"), F.bit_or(bit).alias("bits"))
+    whole = parts.groupBy("lid").agg(F.sum("n").alias("size"), *[F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0)).alias(f"w{k}") for k in range(words)])
+    own = some.select("lid", *[F.col("bands")[k].alias(f"b{k}") for k in range(BANDS)])
+    sets = cut(whole.join(own, "lid").select("lid", F.struct("size", *[f"w{k}" for k in range(words)], *[f"b{k}" for k in range(BANDS)]).alias("sig")), "sets")
+    out = cut(members.join(sets, "lid"), "bands")
+    discard(sets)
+    return out
 
 
-def _agree(one: str, other: str) -> Column:
-    """In how many minwise values two sketches agree: a byte of the exclusive or that is not 0 carries into its highest bit."""
-    low, high = int("7F" * PACKED, 16), int("80" * PACKED, 16)
-    differ = [F.bit_count((F.col(f"{one}.g{k}").bitwiseXOR(F.col(f"{other}.g{k}")) + F.lit(low)).bitwiseAND(F.lit(high))) for k in range(BANDS * ROWS // PACKED)]
-    return F.lit(BANDS * ROWS) - sum(differ[1:], differ[0])
+def _open(words: int, jaccard: float) -> Column:
+    """Whether the bitmaps of gp and gq leave it open that the sets are alike enough.
+
+    A bit that only one bitmap has stands for at least one shingle that only its line has, so what both share is at most the
+    number of shingles less those bits. No pair at the threshold is lost.
+    """
+    only = lambda x, y: sum((F.bit_count(F.col(f"{x}.w{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}.w{k}")))) for k in range(1, words)), F.bit_count(F.col(f"{x}.w0").bitwiseAND(F.bitwise_not(F.col(f"{y}.w0")))))
+    p, q = only("gp", "gq"), only("gq", "gp")
+    most = F.least(F.col("gp.size") - p, F.col("gq.size") - q)
+    return most >= F.lit(jaccard) * (most + p + q)
 
 
-def _meet(one: DataFrame, other: DataFrame, on: list[str], condition: Column) -> DataFrame:
-    """Pairs (a, b), a < b, of lines of one band whose sketches are alike enough."""
+def _first_meeting() -> Column:
+    """Whether k is the first band that the two lines share: a pair is looked at once."""
+    met = F.lit(False)
+    for b in range(BANDS - 1):
+        met |= (F.lit(b) < F.col("k")) & (F.col(f"gp.b{b}") == F.col(f"gq.b{b}"))
+    return ~met
+
+
+def _meet(one: DataFrame, other: DataFrame, on: list[str], condition: Column, words: int, jaccard: float) -> DataFrame:
+    """Pairs (a, b), a < b, of lines of one band whose bitmaps do not rule them out."""
     left = one.withColumnsRenamed({"lid": "p", "sig": "gp"})
     right = other.withColumnsRenamed({"lid": "q", "sig": "gq"})
-    met = left.join(right, on).where(condition & (_agree("gp", "gq") >= AGREE))
+    met = left.join(right, on).where(condition & _open(words, jaccard))
     return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def _confirmed(pairs: DataFrame, lines: DataFrame, jaccard: float) -> DataFrame:
-    """The pairs whose sets of shingles are alike enough."""
+    """The pairs whose sets of shingles are alike enough; only the lines of pairs are read into a shuffle."""
     pairs = cut(pairs.distinct(), "pairs")
-    left = pairs.join(lines.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a")
-    both = left.join(lines.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
-    compared = both.select("a", "b", shingles(F.col("la")).alias("sa"), shingles(F.col("lb")).alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return cut(compared.where(common >= F.lit(jaccard) * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "linked")
+    wanted = pairs.select(F.col("a").alias("lid")).unionAll(pairs.select(F.col("b").alias("lid"))).distinct()
+    texts = cut(lines.select("lid", "line").join(wanted, "lid", "left_semi"), "texts")
+    wide = texts.select("lid", F.encode("line", "UTF-32").alias("u"))
+    both = pairs.join(wide.withColumnsRenamed({"lid": "a", "u": "ua"}), "a").join(wide.withColumnsRenamed({"lid": "b", "u": "ub"}), "b")
+    compared = both.select("a", "b", shingles(F.col("ua")).alias("sa"), shingles(F.col("ub")).alias("sb"))
+    # Counted before they are judged: a filter would be moved below and name the shingles again.
+    counted = cut(compared.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), F.size(F.array_union("sa", "sb")).alias("whole")), "compared")
+    found = counted.where(F.col("common") >= F.lit(jaccard) * F.col("whole")).select("a", "b")
+    discard(pairs, texts)
+    return found
 
 
 def _store_lines(placed: DataFrame, name: str) -> None:
-    """A table of the distinct lines (lid, line, sig, bands), bucketed by line: reading them for the exact check then needs no shuffle of their texts."""
+    """A table of the distinct lines (lid, line, bands), bucketed by line: reading them for the exact check then needs no shuffle of their texts."""
     spark = placed.sparkSession
     distinct = placed.select("lid", "line").groupBy("lid").agg(F.first("line").alias("line"))
-    pieces = distinct.select("lid", F.explode(_pieces(F.col("line"))).alias("piece"))
-    hashed = pieces.select("lid", "piece", F.explode(_starts(F.col("piece"))).alias("k")).select("lid", F.xxhash64(F.substr("piece", "k", F.lit(SHINGLE))).alias("h"))
-    # The rows of a line stay in its partition, so these minima need no further shuffle.
-    least = hashed.groupBy("lid").agg(*[F.min(_order("h", k).bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_MASKS)])
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    words = []
-    for k in range(0, BANDS * ROWS, PACKED):
-        word = F.lit(0).cast("long")
-        for j in range(PACKED):
-            word = word.bitwiseOR(F.shiftleft(F.col(f"m{k + j}").bitwiseAND(F.lit(127)), 8 * j))
-        words.append(word.alias(f"g{k // PACKED}"))
-    signed = distinct.join(least.select("lid", bands.alias("bands"), F.struct(*words).alias("sig")), "lid")
+    signed = distinct.join(signatures(distinct), "lid")
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    signed.write.format("parquet").option("compression", "zstd").option("path", f"{scratch_dir(spark)}/gridquarry/{name}").bucketBy(buckets, "lid").saveAsTable(name)
+    with tidy(spark):
+        signed.write.format("parquet").option("compression", "zstd").option("path", f"{scratch_dir(spark)}/gridquarry/{name}").bucketBy(buckets, "lid").saveAsTable(name)
 
 
 def _shared_bands(lines: DataFrame) -> DataFrame:
-    """Rows (lid, band, n, sig) of the bands that more than one line has."""
-    banded = lines.select("lid", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return cut(banded.join(shared, "band").join(lines.select("lid", "sig"), "lid"), "bands")
+    """Rows (lid, band, k, n) of the bands that n > 1 lines have; k is the band's number."""
+    banded = lines.select("lid", F.posexplode("bands").alias("k", "band"))
+    shared = cut(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    out = cut(banded.join(shared, "band"), "members")
+    discard(shared)
+    return out
 
 
-def _blocks(many: DataFrame, linked: DataFrame) -> DataFrame:
+def _blocks(many: DataFrame, linked: DataFrame, lines: DataFrame, jaccard: float) -> DataFrame:
     """Pairs of lines of large bands that no link joins yet: each line outside the band's largest component meets all of other components."""
     roots = cut(components(linked, "a", "b").withColumnRenamed("node", "lid"), "roots")
-    rooted = cut(many.join(roots, "lid", "left").select("band", "lid", "n", "sig", F.coalesce("root", "lid").alias("root")), "rooted")
-    homes = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.max(F.struct("k", "root")).alias("h"))
-    rooted = rooted.join(homes, "band").where("n > h.k")
+    rooted = cut(many.join(roots, "lid", "left").select("band", "k", "lid", "n", F.coalesce("root", "lid").alias("root")), "rooted")
+    homes = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(F.max(F.struct("m", "root")).alias("h"))
+    rooted = _with_sets(rooted.join(homes, "band").where("n > h.m"), lines, FINE)
     # At least 1, as filters on the blocks may run before the one above.
-    outside = F.greatest(F.ceil((F.col("n") - F.col("h.k")) / BLOCK).cast("int"), F.lit(1))
+    outside = F.greatest(F.ceil((F.col("n") - F.col("h.m")) / BLOCK).cast("int"), F.lit(1))
     whole = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rooted.select("band", "lid", "sig", "root", (F.col("root") == F.col("h.root")).alias("home"), outside.alias("outside"), whole.alias("whole"))
+    dealt = rooted.select("band", "k", "lid", "sig", "root", (F.col("root") == F.col("h.root")).alias("home"), outside.alias("outside"), whole.alias("whole"))
     own = lambda count: F.pmod(F.xxhash64("lid"), F.col(count)).cast("int")
     each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    one = dealt.where("not home").select("band", "lid", "sig", "root", own("outside").alias("i"), each("whole").alias("j"))
+    one = dealt.where("not home").select("band", "k", "lid", "sig", "root", own("outside").alias("i"), each("whole").alias("j"))
     other = dealt.select("band", "lid", "sig", F.col("root").alias("_root"), "home", each("outside").alias("i"), own("whole").alias("j"))
-    return _meet(one, other, ["band", "i", "j"], (F.col("_root") != F.col("root")) & (F.col("home") | (F.col("p") < F.col("q"))))
+    return _meet(one, other, ["band", "i", "j"], (F.col("_root") != F.col("root")) & (F.col("home") | (F.col("p") < F.col("q"))) & _first_meeting(), FINE, jaccard)
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float = JACCARD) -> DataFrame:
@@ -138,25 +186,30 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     placed = occurrences(docs, id_col, text_col).withColumn("lid", F.xxhash64("line"))
     name = f"gridquarry_lines_{uuid.uuid4().hex}"
-    _store_lines(placed, name)
-    release(spark)
-    lines = spark.table(name)
-    members = _shared_bands(lines)
-    release(spark)
-    few = members.where(F.col("n") <= ALL_PAIRS).select("band", "lid", "sig")
-    many = members.where(F.col("n") > ALL_PAIRS)
-    ends = many.groupBy("band").agg(F.min(F.struct("lid", "sig")).alias("x"), F.max(F.struct("lid", "sig")).alias("y"))
-    ends = ends.select("band", F.explode(F.array("x", "y")).alias("e")).select("band", "e.lid", "e.sig")
-    star = _meet(many.select("band", "lid", "sig"), ends, ["band"], F.col("p") != F.col("q"))
-    linked = _confirmed(_meet(few, few, ["band"], F.col("p") < F.col("q")).unionAll(star), lines, jaccard)
-    release(spark)
-    if not many.isEmpty():
-        linked = linked.unionAll(_confirmed(_blocks(many, linked), lines, jaccard))
-    roots = components(linked, "a", "b").withColumnRenamed("node", "lid")
-    out = placed.select("id", "row", "pos", "lid").join(roots, "lid", "left").select("id", "row", "pos", F.coalesce("root", "lid").alias("root"))
-    out = cut(out, "lines")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    remove(spark, f"{scratch_dir(spark)}/gridquarry/{name}")
+    try:
+        _store_lines(placed, name)
+        lines = spark.table(name)
+        members = _shared_bands(lines)
+        sets = _with_sets(members, lines, COARSE)
+        few = sets.where(F.col("n") <= ALL_PAIRS).select("band", "k", "lid", "sig")
+        many = sets.where(F.col("n") > ALL_PAIRS).select("band", "lid", "sig")
+        turn = F.xxhash64("lid", "band")
+        hubs = many.groupBy("band").agg(F.min_by("lid", turn).alias("x"), F.max_by("lid", turn).alias("y"))
+        hubs = many.join(hubs.select("band", F.explode(F.array("x", "y")).alias("lid")), ["band", "lid"])
+        star = _meet(many, hubs, ["band"], F.col("p") != F.col("q"), COARSE, jaccard)
+        once = _meet(few, few.drop("k"), ["band"], (F.col("p") < F.col("q")) & _first_meeting(), COARSE, jaccard)
+        linked = _confirmed(once.unionAll(star), lines, jaccard)
+        discard(sets)
+        large = members.where(F.col("n") > ALL_PAIRS)
+        if not large.isEmpty():
+            linked = linked.unionAll(_confirmed(_blocks(large, linked, lines, jaccard), lines, jaccard))
+        roots = components(linked, "a", "b").withColumnRenamed("node", "lid")
+        out = placed.select("id", "row", "pos", "lid").join(roots, "lid", "left").select("id", "row", "pos", F.coalesce("root", "lid").alias("root"))
+        out = cut(out, "lines")
+        discard(members)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, f"{scratch_dir(spark)}/gridquarry/{name}")
     return out
 
 
