@@ -26,6 +26,8 @@ SUBSPACES, CODES = 8, 256
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. Each is divided by its largest component first, as squares of very small or large ones leave the range of doubles."""
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -101,19 +103,24 @@ _MADE = "a long, b long, n long"
 def link_classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id.
 
-    Vectors link where the cosine in double precision is at least ``cosine``. A vector that is null, zero, or holds null
-    or non-finite components links with nothing, and so does one whose length is not the commonest. Repeated rows and
+    Vectors of one length link where the cosine in double precision is at least ``cosine``; each length has an index of its
+    own. A vector that is null, empty, zero, or holds null or non-finite components links with nothing. Repeated rows and
     ids are vectors of their own; component_id ignores null ids unless there is no other.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("e"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.coalesce(F.col("e").isNotNull() & finite & F.exists("e", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("dim", F.when(sound, F.size("e")))
-    common = rows.where("dim is not null").groupBy("dim").count().orderBy(F.col("count").desc(), "dim").first()
-    if common is None:
-        return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    sound_rows = rows.where(F.col("dim") == common["dim"]).select("id", "e")
+    out = rows.where("dim is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    # The lengths that occur, not the vectors, come to the driver.
+    for r in rows.where("dim is not null").select("dim").distinct().orderBy("dim").collect():
+        out = out.unionByName(_link_length(rows.where(F.col("dim") == r["dim"]).select("id", "e"), cosine))
+    return out.withColumnRenamed("id", "vec_id")
+
+
+def _link_length(sound_rows: DataFrame, cosine: float) -> DataFrame:
+    """Rows (id, n_links, component_id) of sound vectors (id, e) of one length."""
+    spark = sound_rows.sparkSession
     classes = cut(sound_rows.groupBy("e").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")).withColumn("c", F.xxhash64("e")), "classes")
     total = classes.count()
     # At most SAMPLE vectors come to the driver.
@@ -184,9 +191,7 @@ def link_classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     named = cut(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = named.join(least, "root").select("e", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
-    linked = sound_rows.join(of_class, "e").select("id", "n_links", "component_id")
-    alone = rows.where(F.coalesce(F.col("dim") != common["dim"], F.lit(True))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked.unionByName(alone).withColumnRenamed("id", "vec_id")
+    return sound_rows.join(of_class, "e").select("id", "n_links", "component_id")
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

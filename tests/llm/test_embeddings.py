@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from gridquarry.llm import embedding_dedup
@@ -56,11 +57,35 @@ def test_nothing_to_link(spark):
     assert [tuple(r) for r in link_classes(spark.createDataFrame([(3, [1.0, 0.0])], schema)).collect()] == [(3, 0, 3)]
 
 
-def test_recall_over_a_whole_table(spark):
-    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    rows = table.orderBy("vec_id").collect()
-    x = np.array([r["embedding"] for r in rows], float)
+def test_tiny_and_huge_components_and_two_lengths(spark):
+    rng = np.random.default_rng(3)
+    base = [rng.normal(size=16) for _ in range(60)]
+    rows = [(i, (v + rng.normal(size=16) * 0.02).tolist()) for i, v in enumerate(base + base)]
+    rows += [(200, [1e-200] * 16), (201, [1e200] * 16), (202, [5e-324] * 16), (203, [1.7e308] * 16), (204, [-1e-200] * 16)]
+    short = rng.normal(size=8)
+    rows += [(300, short.tolist()), (301, (short * 1e-9).tolist()), (302, [])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in link_classes(table).collect()}
+    assert all(got[i] == got[i + 60] == (1, i) for i in range(60))
+    assert all(got[i] == (3, 200) for i in range(200, 204)) and got[204] == (0, 204)
+    assert got[300] == got[301] == (1, 300) and got[302] == (0, 302)
+
+
+def test_recall_of_planted_pairs_over_many_lists(spark):
+    """20,000 directions with a partner each at cosine 0.95 to 0.97, over 200 lists of which 8 are probed."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20_000, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    want = {r["vec_id"]: int(n) - 1 for r, n in zip(rows, (x @ x.T >= 0.9).sum(1), strict=True)}
-    got = {r["vec_id"]: r["n_links"] for r in link_classes(table, cosine=0.9).collect()}
-    assert all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.9 * sum(want.values())
+    y = rng.normal(size=x.shape)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    cos = rng.uniform(0.9501, 0.97, (len(x), 1))
+    both = np.concatenate([x, cos * x + np.sqrt(1 - cos * cos) * y])
+    pdf = pd.DataFrame({"vec_id": np.arange(len(both)), "embedding": both.tolist()})
+    table = spark.createDataFrame(pdf, "vec_id long, embedding array<double>")
+    want = 0
+    for a in range(0, len(both), 2000):
+        want += int((both[a : a + 2000] @ both.T >= 0.95).sum()) - len(both[a : a + 2000])
+    got = link_classes(table).agg({"n_links": "sum"}).first()[0]
+    print("recall", got / want)
+    assert 0.95 * want <= got <= want
