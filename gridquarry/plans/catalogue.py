@@ -36,7 +36,7 @@ SEQ = "seq AS (SELECT vec_id AS record, (k - 1)::bigint AS tick, round(embedding
 SEGMENTS = "seg AS (SELECT o_custkey AS record, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::bigint AS segment, o_orderkey % 50 AS Ticks FROM orders)"
 STARTS = SEGMENTS + ", starts AS (SELECT *, coalesce(sum(Ticks) OVER (PARTITION BY record ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS StartTick FROM seg)"
 
-SW = {"lx": 1, "ux": 200, "ly": 0, "uy": 82, "avg_l": 180, "avg_u": 184, "size_l": 9, "size_u": 20, "len_lx": 3, "len_ux": 5, "len_ly": 3, "len_uy": 5, "step_x": 3, "step_y": 3}
+SW = {"lx": 0, "ux": 999, "ly": 0, "uy": 82, "avg_l": 180, "avg_u": 184, "size_l": 9, "size_u": 20, "len_lx": 3, "len_ux": 5, "len_ly": 3, "len_uy": 5, "step_x": 3, "step_y": 3}
 STEPS = SW | {"step_x": 5, "step_y": 4, "len_lx": 4, "len_ux": 8, "step_lx": 2, "len_ly": 2, "len_uy": 8, "step_ly": 3, "size_l": 8, "size_u": 48}
 ALIGNED = SW | {"lx": 0, "step_x": 5, "step_y": 5, "len_lx": 5, "len_ux": 10, "step_lx": 5, "len_ly": 5, "len_uy": 10, "step_ly": 5, "size_l": 25, "size_u": 100}
 
@@ -482,7 +482,7 @@ def result_parse(spark, d):
 def online_slices(spark, d):
     array = views.grid(spark, d)
     run = lambda part: tasks.search(array, "sw:SemWindowsAvg", sw(SW)).where(F.col("x").between(part.lo, part.hi))
-    rows = list(online.OnlineSearch(spark, run, Domain(1, 200, 3), slices=4, limit=20))
+    rows = list(online.OnlineSearch(spark, run, Domain(0, 999, 3), slices=4, limit=20))
     return spark.createDataFrame(rows, "x long, y long, lx long, ly long, avg long")
 
 
