@@ -13,14 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridquarry.llm.common import cut, table
+from gridquarry.llm.common import cut, discard, table
 
-#: The models are fitted on the labelled rows with the smallest hashed ids, at most this many.
+#: The models are fitted on the labelled rows with the smallest hashed ids, at most this many; every label among them is a language.
 TRAIN_ROWS = 3000
-#: At most this many languages are told apart: the most frequent ones of the training rows.
-MAX_LANGUAGES = 64
-#: A language needs this many training rows.
-MIN_ROWS = 3
 CELLS = 1 << 16
 #: Neighbouring trigrams overlap, so the text's log likelihood is scaled down, and no text speaks louder than this many trigrams.
 TEMPER, LOUDEST = 0.25, 2000
@@ -46,10 +42,10 @@ def _rows(text: pa.Array):
         yield data[at[k] : at[k + 1]]
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, table of log likelihoods [cell, language and und]) from a bounded sample of labelled rows."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    chosen = labelled.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(train_rows).distinct()
+    labelled = docs.select(F.col(id_col).alias("i"), F.col(label_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t")).where("l is not null and t is not null")
+    chosen = labelled.select("i").orderBy(F.xxhash64("i"), "i").limit(train_rows).distinct().withColumnRenamed("i", "chosen")
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -64,11 +60,10 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows:
             cells = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells)), pa.array(cells), pa.array(n[cells]), pa.array([rows[lang]] + [0] * (len(cells) - 1))], names=["l", "cell", "n", "rows"])
 
-    rows = labelled.join(F.broadcast(chosen), F.col(id_col).eqNullSafe(F.col("_id"))).select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
-    cells = rows.mapInArrow(count, "l string, cell long, n double, rows long").groupBy("l", "cell").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
-    counts = cells.groupBy("l").agg(F.collect_list(F.struct("cell", "n")).alias("cells"), F.sum("rows").alias("rows"), F.sum("n").alias("total")).where(F.col("rows") >= MIN_ROWS)
-    # At most MAX_LANGUAGES rows of at most CELLS counts come to the driver.
-    found = counts.orderBy(F.col("total").desc(), "l").limit(MAX_LANGUAGES).collect()
+    rows = labelled.join(F.broadcast(chosen), F.col("i").eqNullSafe(F.col("chosen"))).select("l", "t")
+    cells = rows.mapInArrow(count, "l string, cell long, n double, rows long").groupBy("l", "cell").agg(F.sum("n").alias("n"))
+    # The counts of at most ``train_rows`` rows come to the driver.
+    found = cells.groupBy("l").agg(F.collect_list(F.struct("cell", "n")).alias("cells")).collect()
     langs = sorted(r["l"] for r in found)
     logs = np.full((CELLS, len(langs) + 1), -np.log(CELLS), np.float32)
     for r in found:
@@ -81,24 +76,45 @@ def address_suffix(url: Column) -> Column:
     return F.element_at(F.split(F.regexp_extract(url, r"(?s)\A.*?://([^/?#:]*)", 1), r"\."), -1)
 
 
+def _address(url_col: str | None, host_col: str | None) -> tuple[Column, Column]:
+    """(host, address suffix), null where nothing is known."""
+    null = F.lit(None).cast("string")
+    other = F.col(host_col).cast("string") if host_col else null
+    if not url_col:
+        return other, null
+    named = lambda c: F.when(c != "", F.lower(c))
+    return F.coalesce(named(F.regexp_extract(F.col(url_col), r"(?s)\A.*?://([^/?#:]*)", 1)), other), named(address_suffix(F.col(url_col)))
+
+
+def markup_language(html: Column) -> Column:
+    """The language that the markup's html element declares, without its region; null where there is none."""
+    found = F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})", 1))
+    return F.when(found != "", found)
+
+
+def markup_text(html: Column) -> Column:
+    """The text between the tags; scripts and styles are left out."""
+    return F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
+
+
 def _log_sum(columns: list[Column]) -> Column:
     top = F.greatest(*columns)
     return top + F.log(sum((F.exp(c - top) for c in columns), F.lit(0.0)))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", url_col: str | None = None, host_col: str | None = "source", train_rows: int = TRAIN_ROWS) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str | None = "lang", declared_col: str | None = None, url_col: str | None = None, host_col: str | None = "source", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """One row per input row: id, row, declared, language, posterior, kept.
 
-    ``url_col`` gives suffix and host where the table has addresses; else ``host_col`` names what stands for the host.
+    ``label_col`` holds the languages that the text models are fitted on and says nothing else about a row; ``declared_col``
+    is evidence. ``url_col`` gives suffix and host; ``host_col`` stands for the host of rows without an address.
     A null or short text, a null declaration, suffix or host adds no evidence, so a row without any falls back on the
     prior of all rows. Rows of class ``und`` are not kept. Without a single labelled row nothing can be told: language
     and posterior are null and every row is kept. Repeated rows are rows of their own.
     """
     null = F.lit(None).cast("string")
     declared = F.col(declared_col).cast("string") if declared_col else null
-    host = F.lower(F.regexp_extract(F.col(url_col), r"(?s)\A.*?://([^/?#]*)", 1)) if url_col else F.col(host_col).cast("string") if host_col else null
-    suffix = F.lower(address_suffix(F.col(url_col))) if url_col else null
-    langs, logs = fit(docs, id_col, text_col, declared_col, train_rows) if declared_col else ([], None)
+    host, suffix = _address(url_col, host_col)
+    langs, logs = fit(docs, id_col, text_col, label_col, train_rows) if label_col else ([], None)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col), F.col(id_col), declared, suffix, host).alias("row"), declared.alias("declared"), suffix.alias("suffix"), host.alias("host"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     if not langs:
         return rows.select("id", "row", "declared", null.alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(True).alias("kept"))
@@ -155,15 +171,67 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, lang, source and any others) whose language could be told; lang takes the language found."""
+    """The rows of ``docs`` (doc_id, text, lang, source and any others) whose language could be told; lang takes the language found.
+
+    Documents have neither markup nor addresses: the text and the prior of the source decide, and lang only labels the
+    rows that the text models are fitted on.
+    """
     found = identify(docs).select(F.col("id"), F.col("row"), "language", "kept").distinct()
     null = F.lit(None).cast("string")
-    row = F.xxhash64(F.col("text"), F.col("doc_id"), F.col("lang").cast("string"), null, F.col("source").cast("string"))
+    row = F.xxhash64(F.col("text"), F.col("doc_id"), null, null, F.col("source").cast("string"))
     packed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), row.alias("_row"))
     kept = packed.join(found, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_row") == F.col("row"))).where("kept")
     return kept.select(*[F.coalesce(F.col("language"), F.col("_doc.lang")).alias("lang") if c == "lang" else F.col("_doc")[c].alias(c) for c in docs.columns])
 
 
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (id, page, text, label, declared, url, source) of all documents and pages.
+
+    Documents have labels and sources; pages have what their markup declares, an address and the text between their tags.
+    """
+    null = F.lit(None).cast("string")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(False).alias("page"), "text", F.col("lang").alias("label"), null.alias("declared"), null.alias("url"), "source")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit(True).alias("page"), markup_text(F.col("html")).alias("text"), null.alias("label"), markup_language(F.col("html")).alias("declared"), "url", null.alias("source"))
+    return docs.unionByName(pages)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = identify(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "declared", "language", "posterior", "kept")
+    """One row per document and per page: doc_id or page_id, declared, language, posterior, kept."""
+    rows = evidence(spark, sf_dir).withColumn("id", F.struct("page", "id"))
+    found = identify(rows, "id", declared_col="declared", label_col="label", url_col="url", host_col="source")
+    own = lambda page, name: F.when(F.col("id.page") == page, F.col("id.id")).alias(name)
+    return found.select(own(False, "doc_id"), own(True, "page_id"), "declared", "language", "posterior", "kept")
+
+
+def brute_force(rows: list[dict]) -> list[tuple[str, float]]:
+    """(language, posterior) of rows with text, label, declared, suffix, domain and host, all of which train: by plain loops, for tests."""
+    langs = sorted({r["label"] for r in rows if r["label"] is not None and r["text"] is not None})
+    counts = {lang: np.full(CELLS, 0.02) for lang in langs}
+    cells = [_cells(np.frombuffer((r["text"] or "").encode(), np.uint8)) if len((r["text"] or "").encode()) > 2 else np.zeros(0, np.int64) for r in rows]
+    for r, c in zip(rows, cells, strict=True):
+        if r["label"] in counts:
+            for cell in c:
+                counts[r["label"]][cell] += min(1, LOUDEST / len(c))
+    logs = [np.log(counts[lang] / counts[lang].sum()) for lang in langs] + [np.full(CELLS, -np.log(CELLS))]
+    score = [[TEMPER * min(1, LOUDEST / max(1, len(c))) * log[c].sum() for log in logs] for c in cells]
+    seen: dict[tuple, np.ndarray] = {}
+    keys = [[(), ("s", r["suffix"]), ("d", r["suffix"], r["domain"]), ("h", r["suffix"], r["domain"], r["host"])] for r in rows]
+    for c, s, own in zip(cells, score, keys, strict=True):
+        if len(c):
+            share = np.exp(np.array(s[:-1]) - max(s[:-1]))
+            for key in own:
+                seen[key] = seen.get(key, 0) + share / share.sum()
+    out = []
+    for r, s, own in zip(rows, score, keys, strict=True):
+        prior = (seen.get((), 0) + np.ones(len(langs))) / (seen.get((), 0) + np.ones(len(langs))).sum()
+        if own[3] in seen:
+            for key in own[1:]:
+                if key[-1] is not None:
+                    prior = (prior * PARENT_ROWS + seen[key]) / (PARENT_ROWS + seen[key].sum())
+        vote = [x + np.log(p) + np.log(1 - UNDETERMINED_PRIOR) for x, p in zip(s[:-1], prior, strict=True)]
+        for told, trust in ((r["declared"], DECLARED_TRUST), (SUFFIX_LANGUAGES.get(r["suffix"]), SUFFIX_TRUST)):
+            vote = [v + (-np.log(len(langs)) if told not in langs else np.log(trust) if told == lang else np.log((1 - trust) / max(1, len(langs) - 1))) for v, lang in zip(vote, langs, strict=True)]
+        vote.append(s[-1] + np.log(UNDETERMINED_PRIOR) - 2 * np.log(len(langs)))
+        best = int(np.argmax(vote))
+        out.append(([*langs, UNDETERMINED][best], float(1 / np.exp(np.array(vote) - vote[best]).sum())))
+    return out

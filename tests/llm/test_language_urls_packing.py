@@ -7,7 +7,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from gridquarry.llm.language_id import identify, keep_identified
+from gridquarry.llm import language_id
+from gridquarry.llm.language_id import identify, keep_identified, markup_language, markup_text, op4_language_id
 from gridquarry.llm.packing import cover, pack, pack_documents, solve
 from gridquarry.llm.url_filter import judge
 
@@ -32,10 +33,10 @@ def test_language_rejects_noise_and_keeps_odd_rows(spark):
     rng = random.Random(1)
     words = {"en": "the house and river were with this that from over under".split(), "de": "das haus und der fluss waren mit nicht durch über".split()}
     rows = [(i, " ".join(rng.choices(words[lang], k=80)), lang, f"h{i % 5}") for i, lang in enumerate(["en", "de"] * 60)]
-    rows += [(500, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(2000)), None, None), (501, None, None, None), (502, "", "en", None), (503, "das haus und der fluss " * 9000, "en", "h0"), (504, " ".join(words["de"]), "xx", "h1")]
+    rows += [(500, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(2000)), None, None), (501, None, None, None), (502, "", "en", None), (503, "das haus und der fluss " * 9000, "en", "h0"), (504, " ".join(words["de"]), None, "h1")]
     rows += [rows[0], rows[0]]
     got = defaultdict(list)
-    for r in identify(docs(spark, rows)).collect():
+    for r in identify(docs(spark, rows), declared_col="lang").collect():
         got[r["id"]].append(r)
     assert got[500][0]["language"] == "und" and not got[500][0]["kept"]
     assert all(got[i][0]["kept"] for i in [*range(120), 501, 502, 503, 504]) and len(got[0]) == 3
@@ -53,10 +54,40 @@ def test_language_without_labels_or_rows(spark):
 def test_language_uses_address_and_markup(spark):
     rows = [(i, t, None, u) for i, (t, u) in enumerate([("die und der das nicht ", "http://a.b.de/x"), (None, "http://a.b.de/y"), (None, "nothing")])]
     rows += [(10 + i, "the and of with this that " * 20, "en", "http://c.d.com/") for i in range(20)] + [(50 + i, "die und der das nicht mit " * 20, "de", "http://a.b.de/") for i in range(20)]
-    got = {r["id"]: r["language"] for r in identify(docs(spark, rows), url_col="source", host_col=None).collect()}
+    got = {r["id"]: r["language"] for r in identify(docs(spark, rows), url_col="source", declared_col="lang", host_col=None).collect()}
     assert got[0] == got[1] == "de"
 
 
+def test_fusion_agrees_with_brute_force(spark):
+    rng = random.Random(2)
+    words = {"en": "the house and river were with this".split(), "de": "das haus und der fluss waren mit".split(), "fr": "la maison et le fleuve sont avec".split()}
+    rows = []
+    for i in range(60):
+        lang = rng.choice(list(words))
+        text = " ".join(rng.choices(words[lang], k=rng.choice([1, 2, 3, 60]))) if i % 9 else rng.choice([None, "", "\u4e2d\u6587" * 400])
+        host = rng.choice(["a.b.de", "c.b.de", "x.fr", "y.com", None])
+        rows.append((i, text, lang if i % 3 else None, rng.choice(["en", "de", "xx", None]), host and f"http://{host}/p", rng.choice(["src", None])))
+    names = ["doc_id", "text", "lang", "declared", "url", "source"]
+    extra = ["_id", "id", "row", "i", "l", "t", "chosen", "suffix", "domain", "host", "s", "prior", "c0", "p0", "_s", "_d", "_h", "v", "best", "kept"]
+    table = spark.createDataFrame([(*r, *["z"] * len(extra)) for r in rows], ", ".join(["doc_id long", *[f"{c} string" for c in [*names[1:], *extra]]]))
+    got = {r["id"]: (r["language"], r["posterior"]) for r in identify(table, declared_col="declared", url_col="url").collect()}
+    dicts = []
+    for _, text, lang, declared, url, source in rows:
+        host = url.split("/")[2] if url else source
+        dicts.append({"text": text, "label": lang, "declared": declared, "suffix": url and host.split(".")[-1], "domain": host and ".".join(host.split(".")[-2:]), "host": host})
+    for (i, *_), (language, posterior) in zip(rows, language_id.brute_force(dicts), strict=True):
+        assert got[i][0] == language and got[i][1] == pytest.approx(posterior, rel=1e-3), i
+
+
+def test_language_of_pages_and_documents(spark):
+    html = spark.createDataFrame([("<!DOCTYPE html><HTML class='x' Lang=\"de-AT\"><script>var a = '<b>';</script><p>Guten <b>Tag</b></p>",), ("<p>no</p>",), (None,)], "h string").select(markup_language("h"), markup_text("h")).collect()
+    assert html[0][0] == "de" and html[0][1].split() == ["Guten", "Tag"] and html[1][0] is None and tuple(html[2]) == (None, None)
+    found = op4_language_id(spark, "/root/testdata/sf0.001").collect()
+    assert sum(r["doc_id"] is not None for r in found) == 200 and sum(r["page_id"] is not None for r in found) == 50
+    told = [r for r in found if r["page_id"] is not None and r["declared"]]
+    assert told and sum(r["language"] == r["declared"] for r in told) >= 0.9 * len(told)
+
+
 def test_url_rules_and_odd_urls(spark):
     urls = ["http://www.Example.com/en/a", "https://example.com/en/", "http://x.example.com/de/", "http://a.net/es/q", "http://a.net/de/?x", None, "no scheme", "http://h", "x://U@H:80?q://z", "http://notexample.com/en/1", "http://a.net/fr/1#y"]
     pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)] + [(0, urls[0], "h", "r")], "page_id long, url string, host string, bad string")
