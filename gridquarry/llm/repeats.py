@@ -21,8 +21,8 @@ from gridquarry.llm.common import cut
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 #: Symbols handled at a time, names with more blocks than this are hot, and the most bits of one row of a filter.
 SLICE, HOT_BLOCKS, MOST_BITS = 1 << 18, 1 << 16, 29
-#: At most this many names are hot, so that their list can be sent to every worker.
-MOST_HOT = 1 << 16
+#: Bits of one row of the filter that marks hot names. A name that is marked without being hot only takes the other way.
+HOT_BITS = 22
 _CHUNK = 16
 
 
@@ -153,9 +153,9 @@ def may_repeat(filter_bits: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
 _SENT = "hot boolean, h long, w long, id long, row long, start int, n int, data binary"
 
 
-def repeated_blocks(rows: DataFrame, names: Names, payload, windows, size: int, gram: int, bits: int, set_bits: np.ndarray, hot: list[int]) -> DataFrame:
+def repeated_blocks(rows: DataFrame, names: Names, payload, windows, size: int, gram: int, bits: int, set_bits: np.ndarray, hot: np.ndarray) -> DataFrame:
     """The blocks whose names may repeat, with what their windows are named from; hot ones window by window (h, w: the window's two names)."""
-    shared = rows.sparkSession.sparkContext.broadcast((set_bits, np.sort(np.array(hot, np.int64))))
+    shared = rows.sparkSession.sparkContext.broadcast((set_bits, hot))
 
     def run(batches):
         flags, frequent = shared.value
@@ -169,7 +169,7 @@ def repeated_blocks(rows: DataFrame, names: Names, payload, windows, size: int,
                         continue
                     name, row, start, count = found.name[pick].view(np.int64), found.row[pick], found.start[pick], found.count[pick]
                     data = payload(raw, symbols, start, count)
-                    many = np.isin(name, frequent)
+                    many = may_repeat(frequent, HOT_BITS, found.name[pick])
                     few = ~many
                     zeros = np.zeros(int(few.sum()), np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(zeros.astype(bool)), pa.array(name[few]), pa.array(zeros), pa.array(ids[a + row[few]]), pa.array(keys[a + row[few]]), pa.array((start - at[row])[few].astype(np.int32)), pa.array(count[few].astype(np.int32)), pa.array([data[k] for k in np.flatnonzero(few)], pa.binary())], names=_NAMES)
@@ -198,7 +198,7 @@ def _spans(ids, rows, starts, size: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(rows[head]), pa.array(starts[head].astype(np.int32)), pa.array((starts[tail] + size).astype(np.int32))] if len(ids) else [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int32())], names=["id", "row", "lo", "hi"])
 
 
-def covered_spans(sent: DataFrame, windows, size: int, hot: list[int]) -> DataFrame:
+def covered_spans(sent: DataFrame, windows, size: int, hot: bool) -> DataFrame:
     """Spans (id, row, lo, hi) of symbols covered by windows that also start in a document with a smaller id.
 
     Without hot names the blocks are read once, so they go straight into the shuffle.
@@ -265,30 +265,81 @@ def mask(n: int, los: list[int] | None, his: list[int] | None) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def hot_names(counts: DataFrame) -> list[int]:
-    """Names with more than HOT_BLOCKS blocks and more than a MOST_HOT-th of all blocks: at most MOST_HOT, whatever the corpus."""
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    return [r["h"] for r in counts.where(F.col("count") > max(HOT_BLOCKS, total // MOST_HOT)).select("h").collect()]
+def hot_filter(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Two rows of 2^HOT_BITS bits from rows (j, cell) of a filter of ``bits`` bits."""
+    flags = np.zeros((2, 1 << HOT_BITS), bool)
+    j, cell = cells[:, 0], cells[:, 1]
+    up = max(0, bits - HOT_BITS)
+    flags[0, cell[j == 0] >> up] = True
+    flags[1, cell[j == 1] & ((1 << HOT_BITS) - 1)] = True
+    return np.packbits(flags, axis=1)
 
 
 def filter_bits(entries: int) -> int:
     return min(MOST_BITS, max(10, int(8 * entries).bit_length()))
 
 
-def exact_filter(found: DataFrame) -> tuple[int, np.ndarray, list[int]]:
-    """(bits, bitmap, hot names) from names that Spark has sorted and counted: those that occur once have dropped out."""
+def _two_cells(names: DataFrame, bits: int) -> DataFrame:
+    high, low = cells_of(F.col("h"), bits)
+    return names.select(F.explode(F.array(F.struct(F.lit(0).alias("j"), high.alias("cell")), F.struct(F.lit(1).alias("j"), low.alias("cell")))).alias("x")).select("x.*")
+
+
+def exact_filter(found: DataFrame) -> tuple[int, np.ndarray, np.ndarray, bool]:
+    """(bits, filter, filter of hot names, whether any is hot) from names that Spark has sorted and counted: those that occur once have dropped out."""
     counts = cut(found.groupBy("h").count().where("count > 1"), "ranks")
     bits = filter_bits(counts.count())
-    high, low = cells_of(F.col("h"), bits)
-    cells = counts.select(F.explode(F.array(F.struct(F.lit(0).alias("j"), high.alias("cell")), F.struct(F.lit(1).alias("j"), low.alias("cell")))).alias("x")).select("x.*")
-    return bits, bitmap(cells, bits), hot_names(counts)
+    often = _two_cells(counts.where(F.col("count") > HOT_BLOCKS), HOT_BITS)
+    flags = bitmap(_two_cells(counts, bits), bits)
+    hot = not often.isEmpty()
+    # Either bitmap is of bounded size, however many names there are.
+    return bits, flags, bitmap(often, HOT_BITS), hot
 
 
-def sketch_filter(found: DataFrame) -> tuple[int, np.ndarray, list[int]]:
-    """(bits, bitmap, hot names) by a count-min sketch of two rows, merged over the partitions; it overestimates, so no repeated name is lost."""
-    found = cut(found, "names")
-    bits = filter_bits(found.count())
-    high, low = cells_of(F.col("h"), bits)
-    cells = found.select(F.explode(F.array(F.struct(F.lit(0).alias("j"), high.alias("cell")), F.struct(F.lit(1).alias("j"), low.alias("cell")))).alias("x")).select("x.*")
-    sketch = cells.groupBy("j", "cell").count().where("count > 1").select("j", "cell")
-    return bits, bitmap(sketch, bits), hot_names(found.groupBy("h").count().where(F.col("count") > HOT_BLOCKS))
+def sketch_filter(rows: DataFrame, names: Names, size: int, gram: int) -> tuple[int, np.ndarray, np.ndarray, bool]:
+    """The same from a count-min sketch of two rows of counters, without counting any name by itself.
+
+    Each task sketches the windows of its texts, a window in the cells of its smallest gram, and counts a run of windows
+    with one such gram once; the tasks' sketches are added up chunk by chunk. A cell that reaches 2 may hold a repeated
+    window. Counts are only ever too high, so none is lost.
+    """
+    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    bits = max(filter_bits(total // 64), _CHUNK)
+
+    def sketched(held: list[np.ndarray]):
+        name = np.concatenate(held)
+        for j, cell in enumerate((name >> np.uint64(64 - bits), name & np.uint64((1 << bits) - 1))):
+            cells, counts = np.unique(cell.astype(np.int64), return_counts=True)
+            edges = np.flatnonzero(np.append(True, np.diff(cells >> _CHUNK) > 0))
+            parts = list(zip(edges, np.append(edges[1:], len(cells)), strict=True)) if len(cells) else []
+            within = (cells & ((1 << _CHUNK) - 1)).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array([j] * len(parts), pa.int32()), pa.array([int(cells[a]) >> _CHUNK for a, _ in parts], pa.int64()), pa.array([within[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([counts[a:b].astype(np.uint32).tobytes() for a, b in parts], pa.binary())], names=["j", "part", "cells", "counts"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for a, b in slices(batch["t"]):
+                symbols, at, _ = names(batch["t"].slice(a, b - a))
+                held.append(blocks(symbols, at, size, gram).name)
+                n += len(held[-1])
+                if n >= 1 << 20:
+                    yield from sketched(held)
+                    held, n = [], 0
+        if n:
+            yield from sketched(held)
+
+    def merge(table: pa.Table) -> pa.Table:
+        cells = np.frombuffer(b"".join(table["cells"].to_pylist()), np.uint16)
+        counts = np.bincount(cells, np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint32), 1 << _CHUNK)
+        often = (np.flatnonzero(counts > HOT_BLOCKS) + (int(table["part"][0].as_py()) << _CHUNK)).tolist()
+        return pa.table({"j": table["j"].slice(0, 1), "part": table["part"].slice(0, 1), "data": pa.array([np.packbits(counts > 1).tobytes()], pa.binary()), "hot": pa.array([often], pa.list_(pa.int64()))})
+
+    sketches = cut(rows.where("id is not null").select("t").mapInArrow(run, "j int, part long, cells binary, counts binary"), "sketches")
+    merged = sketches.groupBy("j", "part").applyInArrow(merge, "j int, part long, data binary, hot array<long>")
+    out, often = np.zeros((2, (1 << bits) // 8), np.uint8), [np.zeros((0, 2), np.int64)]
+    width = (1 << _CHUNK) // 8
+    for r in merged.collect():
+        out[r["j"], r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["data"], np.uint8)
+        if r["hot"]:
+            often.append(np.array([(r["j"], c) for c in r["hot"]], np.int64))
+    cells = np.concatenate(often)
+    return bits, out, hot_filter(cells, bits), bool(len(cells))

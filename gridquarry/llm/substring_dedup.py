@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridquarry.llm.common import table
-from gridquarry.llm.repeats import K3, block_names, covered_spans, doubled, finish, mask, repeated_blocks, sketch_filter, source, with_spans
+from gridquarry.llm.repeats import K3, covered_spans, doubled, finish, mask, repeated_blocks, sketch_filter, source, with_spans
 
 WINDOW, GRAM = 50, 8
 
@@ -56,8 +56,8 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     documents that share an id do not take from each other.
     """
     rows = source(docs, id_col, text_col)
-    bits, flags, hot = sketch_filter(block_names(rows, _words, window, gram))
-    sent = repeated_blocks(rows, _words, _payload(window), _windows, window, gram, bits, flags, hot)
+    bits, flags, often, hot = sketch_filter(rows, _words, window, gram)
+    sent = repeated_blocks(rows, _words, _payload(window), _windows, window, gram, bits, flags, often)
     joined = with_spans(rows, covered_spans(sent, _windows, window, hot)).select("id", "t", "los", "his")
 
     def run(batches):

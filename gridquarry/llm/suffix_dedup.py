@@ -55,8 +55,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stays whole and takes nothing from others; documents that share an id do not take from each other.
     """
     rows = source(docs, id_col, text_col)
-    bits, flags, hot = exact_filter(block_names(rows, _bytes, length, gram))
-    sent = repeated_blocks(rows, _bytes, _payload(length), _windows(length), length, gram, bits, flags, hot)
+    bits, flags, often, hot = exact_filter(block_names(rows, _bytes, length, gram))
+    sent = repeated_blocks(rows, _bytes, _payload(length), _windows(length), length, gram, bits, flags, often)
     joined = with_spans(rows, covered_spans(sent, _windows(length), length, hot)).select("id", "t", "los", "his")
 
     def run(batches):

@@ -26,7 +26,6 @@ def fixture():
 @pytest.mark.parametrize("hot", [4096, 3])
 def test_bytes_agree_with_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT_BLOCKS", hot)
-    monkeypatch.setattr(repeats, "MOST_HOT", 1 << 30)
     rows = fixture()
     got = suffix_dedup.dedup_substrings(docs(spark, rows).repartition(3)).collect()
     mine = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got]
@@ -36,7 +35,6 @@ def test_bytes_agree_with_brute_force(spark, monkeypatch, hot):
 @pytest.mark.parametrize("hot", [4096, 3])
 def test_words_agree_with_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT_BLOCKS", hot)
-    monkeypatch.setattr(repeats, "MOST_HOT", 1 << 30)
     rows = fixture()
     got = substring_dedup.dedup_windows(docs(spark, rows).repartition(3)).collect()
     mine = [(r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in got]
