@@ -104,6 +104,21 @@ def prefix_sums(df: DataFrame, groups: list[str], order: list[Column], buckets:
     )
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with _rank, the number of rows that come before a row in ``order``, and for each of ``sums`` the sum over them.
+
+    The rows are dealt by ranges of the order, so no task holds them all; one row of totals a range is added up.
+    """
+    parts = cut(df.withColumns(sums).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    own = {"_rank": F.lit(1), **{c: F.col(c) for c in sums}}
+    totals = parts.groupBy("_part").agg(*[F.sum(v).alias(f"_t{c}") for c, v in own.items()])
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    bases = totals.select("_part", *[F.coalesce(F.sum(f"_t{c}").over(before), F.lit(0)).alias(f"_b{c}") for c in own])
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    placed = parts.withColumns({f"_s{c}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for c, v in own.items()}).join(bases, "_part")
+    return placed.withColumns({c: F.col(f"_s{c}") + F.col(f"_b{c}") for c in own}).drop("_part", *[f"{x}{c}" for c in own for x in ("_s", "_b")])
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Distributed union-find over (``a``, ``b``): one row (node, root) for each node of an edge, root being the smallest id of its component.
 

@@ -11,16 +11,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from gridquarry.llm.common import cut, n_words, prefix_sums, table
+from gridquarry.llm.common import BUCKET_ROWS, cut, n_words, prefix_sums, running, table
 
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 1024
 SHARE = 1.5
 MAX_EPOCHS = 2
-#: Hash buckets over which the words of one source are summed up; slots are ranked in ranges of SLOT_RANGE.
-DOC_BUCKETS = 1024
+#: Slots are ranked in ranges of SLOT_RANGE.
 SLOT_RANGE = 65536
 CELL = 4096
 
@@ -33,16 +31,17 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     cap per unit of weight, the capped sources are a prefix, so one running sum finds the common level.
     """
     sources = sized.groupBy("src").agg(F.sum("size").alias("source_size"))
-    turn = F.row_number().over(W.orderBy(F.col("src").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("no") % len(weights) + 1).cast("int"))
-    capped = sources.withColumn("no", turn).withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
-    by_level = W.orderBy(F.col("cap") / F.col("weight"), "no")
-    everything = W.partitionBy()
-    level = (F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(by_level.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("weight").over(by_level.rowsBetween(0, W.unboundedFollowing))
+    turned = running(sources, [F.col("src").asc_nulls_last()], {}).withColumnRenamed("_rank", "no")
+    capped = turned.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
+    ranked = cut(running(capped.withColumn("at", F.col("cap") / F.col("weight")), [F.col("at"), F.col("no")], {"caps": F.col("cap"), "weights": F.col("weight")}), "levels")
+    # One row: all sizes and weights.
+    whole = ranked.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
     # The level that would hold if exactly the sources before this one were capped; the first source that fits under it sets the level.
-    ranked = capped.withColumn("level", level).withColumn("fits", F.col("level") * F.col("weight") <= F.col("cap"))
-    final = F.min(F.when(F.col("fits"), F.struct(F.col("cap") / F.col("weight"), F.col("no"), F.col("level").alias("level")))).over(everything)["level"]
-    return ranked.withColumn("final", final).select("src", "no", F.col("source_size").cast("long").alias("source_size"), F.least("cap", F.coalesce(F.col("final") * F.col("weight"), F.col("cap"))).alias("target"))
+    level = (F.col("all_size") * F.lit(float(share)) - F.col("caps")) / (F.col("all_weight") - F.col("weights"))
+    ranked = ranked.join(F.broadcast(whole)).withColumn("level", level)
+    first = ranked.where(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.min(F.struct("at", "no", "level"))["level"].alias("final"))
+    return ranked.join(F.broadcast(first)).select("src", "no", F.col("source_size").cast("long").alias("source_size"), F.least("cap", F.coalesce(F.col("final") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
 def _bit_reversed(i: Column, bits: int) -> Column:
@@ -62,8 +61,7 @@ def schedule(quotas: DataFrame) -> DataFrame:
     spark = quotas.sparkSession
     total = quotas.agg(F.sum("blocks")).first()[0] or 0
     bits = max(0, int(total - 1).bit_length()) if total else 0
-    upto = W.orderBy("no").rowsBetween(W.unboundedPreceding, 0)
-    lanes = quotas.where("blocks > 0").withColumn("hi", F.sum("blocks").over(upto)).withColumn("lo", F.col("hi") - F.col("blocks"))
+    lanes = running(quotas.where("blocks > 0"), [F.col("no")], {"lo": F.col("blocks")}).drop("_rank").withColumn("hi", F.col("lo") + F.col("blocks"))
     # Each lane is cut into cells of CELL blocks, so that a point finds its lane by an equi-join.
     cells = F.sequence(F.floor(F.col("lo") / CELL), F.floor((F.col("hi") - 1) / CELL))
     lanes = lanes.select("no", "blocks", "lo", "hi", F.explode(cells).alias("cell"))
@@ -92,7 +90,7 @@ def mix_pieces(docs: DataFrame, id_col: str = "doc_id", size: Column | None = No
     targets = cut(source_targets(sized, weights, share, max_epochs).withColumn("quota", F.least(F.round("target").cast("long"), F.col("source_size") * max_epochs)), "targets")
     slots = schedule(targets.select("no", F.ceil(F.col("quota") / block_words).alias("blocks")))
     shuffled = F.xxhash64("id", F.lit(seed))
-    laid = prefix_sums(sized, ["src"], [shuffled, F.col("id"), F.col("size")], F.pmod(shuffled, F.lit(DOC_BUCKETS)), F.col("size"), "start")
+    laid = prefix_sums(sized, ["src"], [shuffled, F.col("id"), F.col("size")], F.pmod(shuffled, F.lit(max(1, sized.count() // BUCKET_ROWS))), F.col("size"), "start")
     laid = laid.join(targets.withColumnRenamed("src", "_src"), F.col("src").eqNullSafe(F.col("_src"))).drop("_src")
     spans = laid.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(max_epochs)]))).withColumn("lo", F.col("start") + F.col("epoch") * F.col("source_size"))
     spans = spans.withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("quota")))
@@ -104,16 +102,26 @@ def mix_pieces(docs: DataFrame, id_col: str = "doc_id", size: Column | None = No
     return served.select("id", F.col("start").alias("row"), "src", "size", "source_size", "target", "epoch", "slot", F.when(F.col("slot").isNotNull(), F.col("piece_words")).otherwise(0).cast("long").alias("piece_words"))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """``text`` up to the end of its ``n``-th word and the white space that follows."""
+    parts = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    led = text.rlike(r"\A[\x20\x09-\x0D]").cast("int")
+    return F.array_join(F.slice(parts, F.lit(1), (n + led).cast("int")), "")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix reads them: once for each epoch in which it takes any of their words.
 
-    All columns are kept. Rows with one id share the number of readings of the one that is read most.
+    All columns are kept. Where the mix takes only the first words of a document, the last one of a source, the text ends
+    there. Rows with one id and size share the readings of the one that is read most.
     """
     pieces = mix_pieces(docs, id_col, n_words(F.col(text_col)), **how).where("slot is not null")
-    often = pieces.groupBy("id", "row").agg(F.countDistinct("epoch").alias("_n")).groupBy("id").agg(F.max("_n").alias("_n"))
-    often = often.select(F.col("id").alias("_id"), "_n")
-    joined = docs.select(F.struct("*").alias("_doc")).join(often, F.col(f"_doc.`{id_col}`").cast("long").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_e", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("_doc.*")
+    read = pieces.groupBy("id", "row", "size", "epoch").agg(F.sum("piece_words").alias("n")).groupBy("id", "size", "epoch").agg(F.max("n").alias("_n"))
+    read = read.select(F.col("id").alias("_id"), F.col("size").alias("_size"), "_n")
+    text = F.col(f"_doc.`{text_col}`")
+    joined = docs.select(F.struct("*").alias("_doc")).join(read, F.col(f"_doc.`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (n_words(text) == F.col("_size")))
+    taken = F.when(F.col("_n") < F.col("_size"), first_words(text, F.col("_n"))).otherwise(text)
+    return joined.select(*[taken.alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,18 @@ def test_mix_of_nothing_and_mix_keeps_columns(spark):
     assert out.columns == ["doc_id", "text", "source", "id", "t", "size"] and 40 <= out.count() <= 80
 
 
+def test_many_sources_and_words_of_a_cut_document(spark):
+    rows = [(i, " \tone two  three\nfour ", f"s{i:03d}") for i in range(300)]
+    got = mix_pieces(docs(spark, rows)).groupBy("src").agg(F.sum("piece_words").alias("n"), F.max("target").alias("t")).collect()
+    want = water_level({f"s{i:03d}": 4 for i in range(300)}, {f"s{i:03d}": (3, 1, 2)[i % 3] for i in range(300)})
+    assert all(r["t"] == pytest.approx(want[r["src"]]) and r["n"] == round(r["t"]) for r in got) and len(got) == 300
+    words = defaultdict(int)
+    for r in mix(docs(spark, rows)).collect():
+        words[r["source"]] += len(r["text"].split())
+        assert rows[0][1].startswith(r["text"])
+    assert dict(words) == {r["src"]: r["n"] for r in got}
+
+
 def test_op2_runs_agree(spark):
     a, b = (sorted(map(str, op2_mixing(spark, "/root/testdata/sf0.001").collect())) for _ in range(2))
     assert a == b

@@ -43,11 +43,11 @@ def test_each_stage_agrees_with_brute_force(spark, tmp_path):
     kept = {i for i, _, c in near_dedup.brute_force(sorted(want.items()), 5, 80) if i == c}
     assert texts("near_dedup") == {i: t for i, t in want.items() if i in kept}
     often = Counter(r["doc_id"] for r in seen["mixing"])
-    assert set(often) <= kept and max(often.values()) <= 2 and all(texts("mixing")[i] == want[i] for i in often)
+    assert set(often) <= kept and max(often.values()) <= 2 and all((want[r["doc_id"]] or "").startswith(r["text"] or "") and r["n_chars"] == len(r["text"] or "") for r in seen["mixing"])
     words = defaultdict(int)
     for r in seen["mixing"]:
         words[r["source"]] += len((r["text"] or "").split())
-    assert sum(words.values()) >= 1.5 * sum(len((want[i] or "").split()) for i in kept)
+    assert abs(sum(words.values()) - 1.5 * sum(len((want[i] or "").split()) for i in kept)) <= len(words)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     pieces = Counter()
     for r in seen["mixing"]:
