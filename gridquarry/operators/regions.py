@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridquarry.functions import expressions
 from gridquarry.plans.model import Axis, Span
 
 PARTS = ("sum", "count", "min", "max")
@@ -53,7 +54,7 @@ def region_parts(cells: DataFrame, axes: Sequence[Axis], spans: Sequence[Span],
         rows = rows.where(F.col(a.dim).between(lowest, highest))
     done: list[str] = []
     for k, (axis, span) in enumerate(zip(axes, spans, strict=True)):
-        lengths = F.array(*[F.lit(n).cast("long") for n in axis.length.values()])
+        lengths = F.sequence(*[F.lit(n).cast("long") for n in (axis.length.lo, axis.length.last, axis.length.step)])
         rows = rows.withColumnRenamed(axis.dim, "_at").withColumn(axis.length_col, F.explode(lengths))
         rows = rows.withColumn(axis.dim, F.explode(origins(axis, span, F.col("_at"), F.col(axis.length_col)))).drop("_at")
         done += [axis.dim, axis.length_col]
@@ -65,10 +66,20 @@ def region_parts(cells: DataFrame, axes: Sequence[Axis], spans: Sequence[Span],
 
 
 def region_aggregates(cells: DataFrame, axes: Sequence[Axis], measures: dict[str, Column], wanted: Sequence[str], keys: Sequence[str] = (), keep: Column | None = None) -> DataFrame:
-    """The named aggregates (avg, sum, min, max, count) of every window, as <measure>_<name>; windows without values are left out."""
-    unknown = set(wanted) - {"avg", *PARTS}
-    if unknown:
-        raise ValueError(f"unknown aggregates: {', '.join(sorted(unknown))}")
+    """The named aggregates of every window, as <measure>_<name>; windows without values are left out.
+
+    avg, sum, min, max and count are put together from parts. With any other aggregate that the registry or Spark knows
+    the cells of each window meet in one group, which works without ``keys`` only.
+    """
+    if set(wanted) - {"avg", *PARTS}:
+        if keys:
+            raise ValueError("aggregates that cannot be put together from parts take no keys")
+        windows = enumerate_windows(cells.sparkSession, axes, F.lit(True) if keep is None else keep)
+        full = by_equi_join(cells, windows, axes, measures, list(dict.fromkeys([*wanted, "count"])))
+        filled = F.lit(False)
+        for m in measures:
+            filled |= F.col(f"{m}_count") > 0
+        return full.where(filled).select(*windows.columns, *[f"{m}_{w}" for m in measures for w in wanted])
     parts = [p for p in PARTS if p in wanted or p == "count" or (p == "sum" and "avg" in wanted)]
     found = region_parts(cells, axes, [Span()] * len(axes), measures, parts, keys, keep)
     some = F.lit(False)
@@ -84,9 +95,8 @@ def by_equi_join(cells: DataFrame, windows: DataFrame, axes: Sequence[Axis], mea
     for a in axes:
         rows = rows.withColumn(f"_{a.dim}", F.explode(F.sequence(F.col(a.dim), F.col(a.dim) + F.col(a.length_col) - 1)))
     data = cells.select(*keys, *[F.col(a.dim).alias(f"_{a.dim}") for a in axes], *[present(c).alias(f"_{m}") for m, c in measures.items()])
-    fold = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
     joined = rows.join(data, [*keys, *[f"_{a.dim}" for a in axes]])
-    return joined.groupBy(*windows.columns).agg(*[fold[w](f"_{m}").alias(f"{m}_{w}") for m in measures for w in wanted])
+    return joined.groupBy(*windows.columns).agg(*[expressions.aggregate(w, F.col(f"_{m}")).alias(f"{m}_{w}") for m in measures for w in wanted])
 
 
 def enumerate_windows(spark, axes: Sequence[Axis], keep: Column | None = None) -> DataFrame:

@@ -52,9 +52,11 @@ def top_relaxed(rows: DataFrame, constraints: Valued, k: int, weight: float = 0.
 
 
 def top_k(rows: DataFrame, column: str, k: int, smallest: bool) -> DataFrame:
+    """The ``k`` smallest or largest rows, ties kept. The bar is found on whole rows, so both readings share the shuffles below."""
     order = F.col(column).asc() if smallest else F.col(column).desc()
-    best = rows.select(column).orderBy(order).limit(k)
-    bar = best.agg((F.max if smallest else F.min)(column).alias("_bar"))
+    best = rows.orderBy(order).limit(k)
+    whole = F.struct(column, *[c for c in rows.columns if c != column])
+    bar = best.agg((F.max if smallest else F.min)(whole)[column].alias("_bar"))
     return rows.join(F.broadcast(bar), (F.col(column) <= F.col("_bar")) if smallest else (F.col(column) >= F.col("_bar"))).drop("_bar")
 
 

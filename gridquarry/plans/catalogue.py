@@ -168,6 +168,25 @@ def sw_avg(spark, d):
     return tasks.search(views.grid(spark, d), "sw:SemWindowsAvg", sw(SW))
 
 
+_EXPR = [{"name": "range", "value": "max - min", "l": 40, "h": 120}, {"name": "load", "value": "sum / (lx * ly)", "h": 60, "strict": True}]
+
+
+@query(f"WITH {values_sql(SW)} SELECT x, y, lx, ly, hi - lo AS range, s / (lx * ly) AS load FROM agg WHERE hi - lo BETWEEN 40 AND 120 AND s / (lx * ly) <= 60 AND (x + y) % 2 = 0")
+def expression_windows(spark, d):
+    return tasks.search(views.grid(spark, d), "expr:Windows", Config({"expr": SW | {"where": "(x + y) % 2 = 0", "constraints": _EXPR}}))
+
+
+@query(f"WITH {values_sql(STEPS)}, m AS (SELECT w.x, w.y, w.lx, w.ly, median(val) AS v_median FROM win w JOIN grid g ON g.x BETWEEN w.x AND w.x + w.lx - 1 AND g.y BETWEEN w.y AND w.y + w.ly - 1 GROUP BY ALL) SELECT * FROM m")
+def region_median(spark, d):
+    return regions.region_aggregates(views.grid(spark, d).cells, axes(STEPS), {"v": F.col("val")}, ["median"], keep=tasks.area(Config({"sw": STEPS}), "sw"))
+
+
+@query(f"WITH {values_sql(SW)} SELECT x, y, lx, ly, round(a)::bigint AS avg FROM agg WHERE round(a) BETWEEN 180 AND 184")
+def sw_sliced(spark, d):
+    found = [tasks.search(views.grid(spark, d), "sw:SemWindowsAvg", c) for c in online.slice_configs(sw(SW), "sw", "x", 3)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query(f"WITH {values_sql(STEPS)} SELECT x, y, lx, ly, round(a)::bigint AS avg FROM agg WHERE round(a) BETWEEN 180 AND 184")
 def sw_avg_steps(spark, d):
     return tasks.search(views.grid(spark, d), "sw:SemWindowsAvg", sw(STEPS))

@@ -47,10 +47,18 @@ def rounded(c: Column) -> Column:
     return F.round(c).cast("long")
 
 
+def origin_domain(config: Config, p: str, variable: str, lo: int, hi: int) -> Domain:
+    """Where windows begin: the variable's range, or the slice of it that the configuration asks for. The search space still ends at ``hi``."""
+    part = config.get(f"{p}.slice", {})
+    if part.get("variable") == variable:
+        lo, hi = part["lo"], part["hi"]
+    return Domain(lo, hi, config.num(f"{p}.step_{variable}", 1))
+
+
 def window_axes(config: Config, p: str) -> tuple[Axis, Axis]:
     ends = {d: config.num(f"{p}.u{d}") for d in "xy"}
     return tuple(  # type: ignore[return-value]
-        Axis(d, Domain(config.num(f"{p}.l{d}"), ends[d], config.num(f"{p}.step_{d}", 1)), Domain(config.num(f"{p}.len_l{d}"), config.num(f"{p}.len_u{d}"), config.num(f"{p}.step_l{d}", 1)), ends[d])
+        Axis(d, origin_domain(config, p, d, config.num(f"{p}.l{d}"), ends[d]), Domain(config.num(f"{p}.len_l{d}"), config.num(f"{p}.len_u{d}"), config.num(f"{p}.step_l{d}", 1)), ends[d])
         for d in "xy"
     )
 
@@ -115,7 +123,7 @@ def mean_windows(array: Array, config: Config, synopses: Sequence[Synopsis] = ()
     asked = [k for k, v in diffs.items() if n and v]
     low, high = config.num(f"{p}.avg_l"), config.num(f"{p}.avg_u")
     mean = Relaxable("avg", low, high, config.num(f"{p}.avg_relax_l", low) if on else low, config.num(f"{p}.avg_relax_u", high) if on else high, contract=config.num(f"{p}.avg_contr", 0))
-    cells, blocks, span = _prune(array.cells, axes, [] if n else synopses, mean.max_l, mean.max_h)
+    cells, blocks, span = _prune(array.cells, axes, synopses, mean.max_l, mean.max_h)
     measure = {"v": F.col(config.get(f"{p}.attribute", "val"))}
     parts = ["sum", "count", *(["max"] if "max_diff" in asked else []), *(["min"] if "min_diff" in asked else [])]
     keys = [c for a in axes for c in (a.dim, a.length_col)]
@@ -156,7 +164,7 @@ def mean_subsequences(array: Array, config: Config, synopses: Sequence[Synopsis]
     on, near = config.flag("relax.on"), f"{p}.neighborhood"
     lo, hi = config.num(f"{p}.l_time"), config.num(f"{p}.u_time")
     left, right = config.num(f"{near}.l_size", 0), config.num(f"{near}.r_size", 0)
-    axis = Axis("tick", Domain(lo, hi, config.num(f"{p}.step_time", 1)), Domain(config.num(f"{p}.len_l"), config.num(f"{p}.len_u"), config.num(f"{p}.step_len", 1)), hi - right, "len")
+    axis = Axis("tick", origin_domain(config, p, "time", lo, hi), Domain(config.num(f"{p}.len_l"), config.num(f"{p}.len_u"), config.num(f"{p}.step_len", 1)), hi - right, "len")
     cells = array.cells.where(F.col("record").between(config.num(f"{p}.l_id"), config.num(f"{p}.u_id")))
     measure = {"v": F.col(config.get(f"{p}.signal", array.meta.attrs[0]))}
     sides = [(s, n, span) for s, n, span in (("left", left, Span(-left, 0, left, 0)), ("right", right, Span(0, 1, right, 0))) if n]
@@ -188,7 +196,7 @@ def near_subsequences(array: Array, config: Config, synopses: Sequence[Synopsis]
     lo, hi = config.num(f"{p}.l_time"), config.num(f"{p}.u_time")
     cells = array.cells.where(F.col("record").between(config.num(f"{p}.l_id"), config.num(f"{p}.u_id")))
     signal = F.col(config.get(f"{p}.signal", array.meta.attrs[0]))
-    found = sequence.squared_distances(cells, "record", "tick", signal, query, Domain(lo, hi, config.num(f"{p}.step_time", 1)), hi)
+    found = sequence.squared_distances(cells, "record", "tick", signal, query, origin_domain(config, p, "time", lo, hi), hi)
     bound = config.num(f"{p}.dist", 0) ** 2
     # Distances are rounded up before they are compared.
     found = found.select(F.col("record").alias("id"), F.col("start").alias("time"), F.ceil("sqdist").cast("long").alias("sqdist"))
@@ -218,6 +226,41 @@ def band_windows(array: Array, config: Config, synopses: Sequence[Synopsis] = ()
     return found.where(ok).select(*keys)
 
 
+#: What a user's expression may name: the window's place and size and the aggregates of its values.
+EXPRESSION_PARTS = ("sum", "count", "min", "max")
+
+
+@task("expr:Windows", "windows:expression")
+def expression_windows(array: Array, config: Config, synopses: Sequence[Synopsis] = (), p: str = "expr") -> DataFrame:
+    """Windows that meet constraints which the configuration states as SQL expressions.
+
+    ``<p>.constraints`` lists objects with name and value, an expression over x, y, lx, ly, avg, sum, count, min and max,
+    and any of l, h, relax_l, relax_h, contr and strict. ``<p>.where`` is an expression over x, y, lx and ly that a window
+    has to meet before its values are looked at. Windows without values are left out; a null value rejects a window.
+    Columns x, y, lx, ly, the named values and, where asked for, rd and rank.
+    """
+    axes = window_axes(config, p)
+    on = config.flag("relax.on")
+    stated = config.need(f"{p}.constraints")
+    names = [c["name"] for c in stated]
+    taken = {*keys_in_order(axes), "avg", *EXPRESSION_PARTS}
+    if len(set(names)) < len(names) or taken & set(names):
+        raise ValueError(f"constraints need names of their own: {', '.join(names)}")
+    keep = F.expr(config.get(f"{p}.where", "true")) & area(config, p)
+    found = regions.region_parts(array.cells, axes, (Span(), Span()), {"v": F.col(config.get(f"{p}.attribute", "val"))}, EXPRESSION_PARTS, keep=keep).where("v_count > 0")
+    found = found.select(*keys_in_order(axes), *[F.col(f"v_{part}").alias(part) for part in EXPRESSION_PARTS]).withColumn("avg", F.col("sum") / F.col("count"))
+    constraints = []
+    for c in stated:
+        found = found.withColumn(c["name"], F.expr(c["value"]))
+        low, high = c.get("l"), c.get("h")
+        limits = (c.get("relax_l", low), c.get("relax_h", high)) if on else (low, high)
+        constraints.append((Relaxable(c["name"], low, high, *limits, contract=c.get("contr", 0), strict=bool(c.get("strict")) and not on), F.col(c["name"])))
+    some = F.lit(True)
+    for name in names:
+        some &= F.col(name).isNotNull()
+    return finish(found.where(some), config, constraints, [*keys_in_order(axes), *names])
+
+
 def result_strings(rows: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows as text 'name=value, …'; rd and rank are cut to thousandths, and rank is given only where rd is 0."""
     parts = []

@@ -50,8 +50,23 @@ class OnlineSearch:
         self.spark.sparkContext.cancelJobsWithTag(self.group)
 
     def __iter__(self) -> Iterator[Row]:
+        # The timer ends a slice that has no rows to show, too.
+        timer = None
+        if self.deadline_s is not None:
+            timer = threading.Timer(max(0.0, self.started + self.deadline_s - time.monotonic()), self.cancel)
+            timer.daemon = True
+            timer.start()
+        try:
+            yield from self._rows()
+        finally:
+            if timer:
+                timer.cancel()
+
+    def _rows(self) -> Iterator[Row]:
         last = self.started
         for part in self.parts:
+            if self.stopped.is_set():
+                return
             self.spark.sparkContext.addJobTag(self.group)
             try:
                 for row in self.search(part).toLocalIterator():
@@ -63,6 +78,10 @@ class OnlineSearch:
                     self.delays.append(now - last)
                     last, self.sent = now, self.sent + 1
                     yield row
+            except Exception:
+                if self.stopped.is_set():  # the job was cancelled
+                    return
+                raise
             finally:
                 self.spark.sparkContext.removeJobTag(self.group)
 
