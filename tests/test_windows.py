@@ -1,5 +1,6 @@
 """Region aggregates, intervals, relaxation and contraction against brute force on small arrays."""
 
+import statistics
 import itertools
 import random
 
@@ -60,8 +61,12 @@ def test_aggregates(spark, seed):
         assert got == {k: pytest.approx(v) for k, v in want.items()}
     sums = regions.by_prefix_sums(frame(spark, cells), AXES, F.col("val"))
     assert {(r["x"], r["y"], r["lx"], r["ly"]): (r["sum"], r["count"]) for r in sums.collect()} == {k: (v[1], v[4]) for k, v in want.items()}
+    medians = {(r["x"], r["y"], r["lx"], r["ly"]): r["v_median"] for r in regions.region_aggregates(frame(spark, cells), AXES, {"v": F.col("val")}, ["median"]).collect()}
+    assert medians == {w: pytest.approx(statistics.median(v)) for w in space() if (v := values(cells, *w))}
     with pytest.raises(ValueError):
-        regions.region_aggregates(frame(spark, cells), AXES, {"v": F.col("val")}, ["median"])
+        regions.region_aggregates(frame(spark, cells), AXES, {"v": F.col("val")}, ["no_such_aggregate"])
+    with pytest.raises(ValueError):
+        regions.region_aggregates(frame(spark, cells), AXES, {"v": F.col("val")}, ["median"], keys=["x"])
 
 
 @pytest.mark.parametrize("seed", range(3))
