@@ -73,9 +73,14 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise: Callable[[Column], Column] | None = None) -> DataFrame:
-    """The rows of ``docs`` whose id is the one that stays of its group; every column is kept."""
-    stay = exact_classes(docs, id_col, text_col, keep, normalise).where(F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("_stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_stay"]), "left_semi")
+    """The rows of ``docs`` whose id is the one that stays of their text's group; every column is kept.
+
+    An id may stay in one group and go in another. Repeated rows with the id that stays all stay.
+    """
+    stay = exact_classes(docs, id_col, text_col, keep, normalise).where(F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("_stay"), F.col("text_sha256").alias("_sha")).distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    packed = docs.select(F.struct("*").alias("_doc"), F.col(id_col).cast("long").alias("_id"), F.sha2(normalise(text) if normalise else text, 256).alias("_own"))
+    return packed.join(stay, F.col("_id").eqNullSafe(F.col("_stay")) & (F.col("_own") == F.col("_sha")), "left_semi").select("_doc.*")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,11 @@ def test_exact_classes_of_an_empty_table_and_dedup_keeps_columns(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 3] and out.columns == ["doc_id", "text", "source", "id", "t", "size"]
 
 
+def test_an_id_may_stay_with_one_text_and_go_with_another(spark):
+    out = dedup(docs(spark, [(1, "a", None), (2, "b", None), (2, "a", None)]))
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, "a"), (2, "b")]
+
+
 def water_level(sizes, weights):
     """Targets by resharing the excess until no source is above twice its size."""
     target, capped = {}, set()
