@@ -3,9 +3,10 @@
 Documents with one shingle set are one class from the start. In each of ``TREES`` independent trees a class follows the
 path of the tokens that its set selects minwise, level by level; classes on one path are a node. Large nodes branch on,
 one level at a time; small ones are compared exhaustively by byte sketches. What is alike there is confirmed on the full
-sets, in two rounds: first each class with the partner that looks closest, then every pair that is still in different
-components. Nodes that stay large at the last level are dense groups: they are compared in chunks and with a pivot,
-and a class that the pivot's component does not hold is compared with every chunk.
+sets, in two rounds: first each class with the partner that looks closest, then what is still in different components:
+a spanning forest of the pairs of a node that its sets show to be alike, and every pair that sketches leave open.
+Nodes that stay large at the last level are dense groups: they are compared in chunks and with a pivot, and classes that
+the pivot's component does not hold meet each other and all chunks in blocks, each pair once.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ TREES, FIRST, LEVELS = 10, 2, 6
 NODE = 256
 #: Of TREES * LEVELS sketch bytes, the share that must agree before sets are compared; 4 standard deviations below the threshold.
 SLACK = 4.0
-#: Bins of the second round's sketch: the smallest shingle name of each, as a byte.
-BINS = 512
+#: In the second round a set of at most FULL shingles is there whole, as 32-bit names; a larger one as BINS bytes, the smallest name of each bin.
+FULL, BINS = 512, 2048
 _SEEDS = finish(np.arange(1, TREES * LEVELS + 1, dtype=np.uint64) * K1)
 SHINGLES, PERCENT = 5, 80
 
@@ -73,18 +74,15 @@ def _signatures(names: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _binned(names: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One row of BINS bytes for each text: of the sorted names that share their highest bits the first, 0 where there is none."""
-    out = np.zeros((len(at) - 1) * BINS, np.uint8)
-    bits = BINS.bit_length() - 1
-    cell = np.repeat(np.arange(len(at) - 1), np.diff(at)) * BINS + (names >> np.uint64(64 - bits)).astype(np.int64)
-    first = np.ones(len(cell), bool)
-    first[1:] = cell[1:] != cell[:-1]
-    out[cell[first]] = 1 + (names[first] >> np.uint64(20)) % np.uint64(255)
-    return out.reshape(-1, BINS)
+def _binned(short: np.ndarray) -> np.ndarray:
+    """BINS bytes for one set of sorted 32-bit names: of those that share their highest bits the first, 0 where there is none."""
+    out, shift = np.zeros(BINS, np.uint8), 32 - (BINS.bit_length() - 1)
+    cell, first = np.unique(short >> np.uint32(shift), return_index=True)
+    out[cell] = 1 + (short[first] & np.uint32((1 << shift) - 1)) % np.uint32(255)
+    return out
 
 
-_SETS = "id long, row long, n long, c long, c2 long, signature binary, binned binary"
+_SETS = "id long, row long, n long, c long, c2 long, signature binary"
 _PATHS = "path long, level int, tree int, c long, n long, signature binary"
 
 
@@ -103,7 +101,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, k: int, lower: bool) ->
                     c2[full] = np.add.reduceat(finish(names * K3), at[:-1][full])
                 signed = np.empty(b - a, object)
                 signed[full] = [s.tobytes() for s in _signatures(names, at)]
-                yield pa.RecordBatch.from_arrays([batch["id"].slice(a, b - a), batch["row"].slice(a, b - a), pa.array(n), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(signed.tolist(), pa.binary()), pa.array([x.tobytes() for x in _binned(names, at)], pa.binary())], names=["id", "row", "n", "c", "c2", "signature", "binned"])
+                yield pa.RecordBatch.from_arrays([batch["id"].slice(a, b - a), batch["row"].slice(a, b - a), pa.array(n), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(signed.tolist(), pa.binary())], names=["id", "row", "n", "c", "c2", "signature"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("t"))
@@ -213,36 +211,101 @@ def _closest_pairs(least: int, percent: int):
     return run
 
 
-def _open_pairs(least: int, percent: int):
-    """Every pair of a node that may be alike and is in different components.
+def _shared(short: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many names the sets of each pair share; ``i`` is sorted."""
+    out = np.zeros(len(i), np.int64)
+    rows, begins = np.unique(i, return_index=True)
+    for x, a, b in zip(rows, begins, [*begins, len(i)][1:], strict=True):
+        others = [short[y] for y in j[a:b]]
+        names = np.concatenate(others)
+        at = np.minimum(np.searchsorted(short[x], names), len(short[x]) - 1)
+        out[a:b] = np.add.reduceat(short[x][at] == names, np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64)
+    return out
+
+
+def _forest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the links (x, y) join what those before them leave apart."""
+    up: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while up.setdefault(k, k) != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    out = np.zeros(len(x), bool)
+    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        a, b = find(a), find(b)
+        if a != b:
+            up[a], out[k] = b, True
+    return out
 
-    In a dense node's chunk the rest are known to be in the pivot's component; only the outsiders ask.
+
+def _open_pairs(least: int, percent: int, forest: bool):
+    """Pairs (a, b, sure) of a block that are in different components and may be alike.
+
+    Sure ones are alike by the names of their whole sets; with ``forest``, of these only a spanning forest is returned.
+    Where g and h differ, only pairs of different sides are looked at.
     """
 
     def run(table: pa.Table) -> pa.Table:
         c, n = table["c"].to_numpy(), table["n"].to_numpy()
-        _, first = np.unique(c, return_index=True)
-        c, n, take = c[first], n[first], pa.array(first)
-        sketch = np.frombuffer(b"".join(table["signature"].take(take).to_pylist()), np.uint32).reshape(len(c), -1).astype(np.uint8)
-        binned = np.frombuffer(b"".join(table["binned"].take(take).to_pylist()), np.uint8).reshape(len(c), -1)
-        root, outside = table["root"].to_numpy()[first], table["outside"].to_numpy(zero_copy_only=False)[first]
-        out = []
+        sketch = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(len(c), -1).astype(np.uint8)
+        root, side, held = table["root"].to_numpy(), table["side"].to_numpy(), table["held"].to_pylist()
+        within, whole = table["g"][0] == table["h"][0], n <= FULL
+        found = []
         for k in range(0, len(c), 64):
             a = slice(k, k + 64)
             agree = _alike(sketch, n, a, least, percent)
-            agree[(root[a, None] == root) | ~(outside[a, None] | outside)] = 0
+            agree[root[a, None] == root] = 0
+            if within:
+                agree[c[a, None] >= c] = 0
+            else:
+                agree[(side[a, None] != 0) | (side == 0)] = 0
             i, j = np.nonzero(agree)
-            i = i + k
-            once = c[i] < c[j]
-            i, j = i[once], j[once]
-            near = _close(binned, n, i, j, percent)
-            out.append((c[i[near]], c[j[near]]))
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"a": a, "b": b})
+            found.append((i + k, j))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        exact = whole[i] & whole[j]
+        short = [np.frombuffer(x, np.uint32) if w else None for x, w in zip(held, whole, strict=True)]
+        both = _shared(short, i[exact], j[exact])
+        # A set whose names coincide in 32 bits has fewer of them; a pair that this may hide stays open.
+        lost = n - np.array([n[k] if x is None else len(x) for k, x in enumerate(short)])
+        total, hidden = n[i[exact]] + n[j[exact]], np.minimum(lost[i[exact]], lost[j[exact]])
+        alike = 100 * both >= percent * (total - both)
+        unclear = ~alike & (100 * (both + hidden) >= percent * (total - both - hidden))
+        si, sj = i[exact][alike], j[exact][alike]
+        if forest:
+            keep = _forest(root[si], root[sj])
+            si, sj = si[keep], sj[keep]
+        ui, uj, i, j = i[exact][unclear], j[exact][unclear], i[~exact], j[~exact]
+        used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+        binned = np.array([_binned(short[x]) if whole[x] else np.frombuffer(held[x], np.uint8) for x in used], np.uint8).reshape(-1, BINS)
+        near = _close(binned, n[used], place[: len(i)], place[len(i) :], percent)
+        x, y = c[np.concatenate([si, ui, i[near]])], c[np.concatenate([sj, uj, j[near]])]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "sure": np.arange(len(x)) < len(si)})
 
     return run
 
 
+def _blocks(placed: DataFrame, node: int) -> DataFrame:
+    """Rows (path, g, h, side, c, n, signature, root) of the blocks in which pairs meet that may still be apart.
+
+    A node that is not dense is one block. In a dense one the rows outside the pivot's component are dealt over
+    ``among`` groups, which meet each other and each chunk of the rest: a block has about 2 * ``node`` rows at most
+    and each pair one block.
+    """
+    per = placed.where("pivot").groupBy("path").agg(F.min("root").alias("home"), (F.max("chunk") + 1).alias("chunks"))
+    # A pivot stands in every chunk; here it needs one place, and its own pairs are already decided.
+    rows = placed.where("not pivot").join(per, "path", "left").withColumn("outside", F.col("dense") & (F.col("root") != F.col("home")))
+    few = rows.where("outside").groupBy("path").agg(F.ceil(F.count(F.lit(1)) / node).cast("int").alias("among"))
+    rows = rows.join(few, "path", "left").where("not dense or among is not null")
+    own = F.pmod(F.xxhash64("path", "c"), F.col("among")).cast("int")
+    rows = rows.withColumn("own", F.when(F.col("outside"), own).otherwise(F.col("among") + F.col("chunk")))
+    last = F.col("among") - 1 + F.when(F.col("outside"), F.col("chunks")).otherwise(0)
+    rows = rows.withColumn("k", F.explode(F.when(F.col("dense"), F.sequence(F.lit(0), last)).otherwise(F.array(F.lit(0)))))
+    own = F.when(F.col("dense"), F.col("own")).otherwise(0)
+    return rows.select("path", F.least(own, "k").alias("g"), F.greatest(own, "k").alias("h"), (own > F.col("k")).cast("int").alias("side"), "c", "n", "signature", "root")
+
+
 def _texts_of(docs: DataFrame, one: DataFrame, text_col: str) -> DataFrame:
     """(c, t) for rows (c, row): a Bloom filter of bounded size keeps other documents' texts out of the shuffle."""
     bits = filter_bits(one.count())
@@ -259,10 +322,8 @@ def _texts_of(docs: DataFrame, one: DataFrame, text_col: str) -> DataFrame:
     return some.join(one, "row").select("c", "t")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str, k: int, lower: bool, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets reach ``percent`` percent; their texts are read again and shingled."""
-    pairs = cut(pairs.select("a", "b").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("c")).unionAll(pairs.select(F.col("b").alias("c"))).distinct()
+def _again(wanted: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str, k: int, lower: bool, held, what: str) -> DataFrame:
+    """(c, s) for the classes ``wanted``: their texts are read and shingled again, and ``held`` makes the bytes s of a set's names."""
     one = cut(rows.groupBy("c").agg(F.min("row").alias("row")).join(wanted, "c"), "wanted")
     texts = _texts_of(docs, one, text_col)
 
@@ -270,10 +331,22 @@ def confirm(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str, k
         for batch in batches:
             for a, b in slices(batch["t"]):
                 names, at = shingle_sets(batch["t"].slice(a, b - a), k, lower)
-                yield pa.RecordBatch.from_arrays([batch["c"].slice(a, b - a), pa.array([names[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["c", "s"])
+                yield pa.RecordBatch.from_arrays([batch["c"].slice(a, b - a), pa.array([held(names[x:y]).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["c", "s"])
 
     # Copies of a class's text give its set again.
-    full = cut(texts.mapInArrow(shingle, "c long, s binary").dropDuplicates(["c"]), "full")
+    return cut(texts.mapInArrow(shingle, "c long, s binary").dropDuplicates(["c"]), what)
+
+
+def _held(names: np.ndarray) -> np.ndarray:
+    short = np.unique((names >> np.uint64(32)).astype(np.uint32))
+    return short if len(names) <= FULL else _binned(short)
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str, k: int, lower: bool, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets reach ``percent`` percent."""
+    pairs = cut(pairs.select("a", "b").distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("c")).unionAll(pairs.select(F.col("b").alias("c"))).distinct()
+    full = _again(wanted, docs, rows, text_col, k, lower, lambda names: names, "full")
     sides = pairs.join(full.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
 
     def compare(batches):
@@ -297,29 +370,32 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = sets_of(docs, id_col, text_col, shingle, lower)
     full = rows.where("n > 0").withColumn("c", F.xxhash64("c", "c2", "n"))
-    classes = full.groupBy("c").agg(F.min("n").alias("n"), F.min("signature").alias("signature"), F.min("binned").alias("binned"))
+    classes = full.groupBy("c").agg(F.min("n").alias("n"), F.min("signature").alias("signature"))
     bytes_ = TREES * LEVELS
     p = percent / 100
     least = int(np.floor(bytes_ * p - SLACK * np.sqrt(bytes_ * p * (1 - p))))
     classes = cut(classes, "classes")
-    nodes = tree_nodes(classes.drop("binned"), node)
+    nodes = tree_nodes(classes, node)
     grouped = nodes.groupBy("path", "chunk").applyInArrow(_closest_pairs(least, percent), "a long, b long, agree int")
     closest = grouped.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
     anchors = nodes.where("pivot").select("path", F.col("c").alias("p")).distinct()
     with_pivot = nodes.where("dense and not pivot").select("path", "c").join(anchors, "path").select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b"))
     linked = confirm(closest.unionByName(with_pivot), docs, full, text_col, shingle, lower, percent)
     roots = cut(components(linked, "a", "b"), "roots")
-    # Second round: whatever looks alike and is still apart. Outsiders of a dense node meet all its chunks.
+    # Second round: whatever may be alike and is still apart. Blocks that lie within one component have nothing left to find.
     placed = nodes.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    home = placed.where("pivot").groupBy("path").agg(F.min("root").alias("home"), (F.max("chunk") + 1).alias("chunks"))
-    placed = placed.join(home, "path", "left").withColumn("outside", ~F.col("dense") | (F.col("root") != F.col("home")))
-    everywhere = F.when(F.col("dense") & F.col("outside"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
-    mixed = cut(placed.withColumn("chunk", F.explode(everywhere)), "mixed")
-    # Nodes that lie within one component have nothing left to find.
-    open_ = mixed.groupBy("path", "chunk").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("path", "chunk")
-    rest = mixed.join(open_, ["path", "chunk"]).join(classes.select("c", "binned"), "c").select("path", "chunk", "c", "n", "signature", "binned", "root", "outside")
-    late = rest.groupBy("path", "chunk").applyInArrow(_open_pairs(least, percent), "a long, b long")
+    mixed = cut(_blocks(placed, node), "mixed")
+    block = ["path", "g", "h"]
+    open_ = mixed.groupBy(*block).agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select(*block)
+    rest = cut(mixed.join(open_, block), "open")
+    sets = _again(rest.select("c").distinct(), docs, full, text_col, shingle, lower, _held, "held")
+    blocks = rest.join(sets.withColumnRenamed("s", "held"), "c").groupBy(*block)
+    late = cut(blocks.applyInArrow(_open_pairs(least, percent, True), "a long, b long, sure boolean"), "late")
     more = confirm(late, docs, full, text_col, shingle, lower, percent)
+    if not late.where("sure").join(more, ["a", "b"], "left_anti").isEmpty():
+        # Names of 32 bits misled a forest: every pair that it stood for is confirmed by itself.
+        late = blocks.applyInArrow(_open_pairs(least, percent, False), "a long, b long, sure boolean")
+        more = confirm(late, docs, full, text_col, shingle, lower, percent)
     roots = components(linked.unionByName(more), "a", "b")
     named = full.select("id", "row", "n", "c").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     named = cut(named, "named")

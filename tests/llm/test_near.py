@@ -40,6 +40,27 @@ def test_components_agree_with_brute_force(spark, shingle, percent, node):
     assert sorted(got, key=str) == sorted(brute_force(rows, shingle, percent), key=str)
 
 
+def test_a_dense_template_around_the_threshold(spark):
+    """Most texts of the template are just below the threshold: dense nodes of outsiders, whole sets and binned ones."""
+    rng = random.Random(4)
+    base, long = [f"t{i}" for i in range(150)], [f"u{i}" for i in range(700)]
+    rows = []
+    for i in range(220):
+        w = list(base)
+        for k in rng.sample(range(0, 150, 3), rng.randrange(2, 7)):
+            w[k] = f"x{i}_{k}" if rng.random() < 0.6 else f"y{k}"
+        rows.append((i, " ".join(w)))
+    for i in range(30):
+        w = list(long)
+        for k in rng.sample(range(0, 700, 3), rng.randrange(8, 30)):
+            w[k] = f"x{i}_{k}"
+        rows.append((5000 + i, " ".join(w)))
+    want = sorted(brute_force(rows, 3, 85))
+    assert 20 < len({c for _, _, c in want}) < 250
+    got = near_classes(docs(spark, rows).repartition(3), shingle=3, percent=85, node=16)
+    assert sorted((r["id"], r["n"], r["component_id"]) for r in got.collect()) == want
+
+
 def test_keep_one_and_empty_tables(spark):
     rows = fixture(20)
     out = keep_one(docs(spark, rows), shingle=3, percent=85)
