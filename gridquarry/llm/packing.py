@@ -30,6 +30,8 @@ COLUMNS, WORTH = 32, 0.999
 #: Bytes of text that are tokenised at a time, and words whose ids a worker remembers.
 SLICE_BYTES = 4 << 20
 CACHE_WORDS = 800_000
+#: New words are encoded so many at a time, with a NUL as a word of its own between them.
+JOINED, BETWEEN = 128, "\0"
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -55,6 +57,21 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of ``words``; where a NUL is one id that no other word can have, many are encoded as one text."""
+        plain = [w for w in words if BETWEEN not in w] if len(self.between) == 1 else []
+        texts = [f" {BETWEEN} ".join(plain[k : k + JOINED]) for k in range(0, len(plain), JOINED)]
+        for k, e in enumerate(self.tokenizer.encode_batch(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.between[0]).tolist(), len(ids)]
+            begin = 0
+            for w, end in zip(plain[k * JOINED : (k + 1) * JOINED], ends, strict=True):
+                self.known[w] = ids[begin:end].tobytes()
+                begin = end + 1
+        for w in words if not plain else [w for w in words if BETWEEN in w]:
+            self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text's ids begin and end."""
@@ -66,9 +83,7 @@ class WordTokens:
             self.known = {"": b""}
             fresh = [w for w in distinct if w]
         for k in range(0, len(fresh), 4096):
-            some = fresh[k : k + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self._learn(fresh[k : k + 4096])
         parts = [self.known[w] for w in distinct]
         flat = np.frombuffer(b"".join(parts), "<u4")
         lens = np.fromiter(map(len, parts), np.int64, len(parts)) // 4

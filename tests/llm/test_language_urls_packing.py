@@ -4,12 +4,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from gridquarry.llm import language_id
 from gridquarry.llm.language_id import identify, keep_identified, markup_language, markup_text, op4_language_id
-from gridquarry.llm.packing import cover, pack, pack_documents, solve
+from gridquarry.llm.packing import WordTokens, cover, pack, pack_documents, solve
 from gridquarry.llm.url_filter import judge
 
 DOCS = "doc_id long, text string, lang string, source string, row int, id string, s int, length int, rank int"
@@ -140,6 +141,16 @@ def test_packing_holds_each_piece_once_and_its_ids(spark):
     assert sequences <= -(-sum(r["length"] for r in got) // 2048) + 1
 
 
+def test_words_encoded_together_keep_the_ids_of_whole_texts():
+    rng = random.Random(3)
+    parts = list("aé\u0301\u0338\0\u00a0\x1c\x851Σİßﬁ한Å漢.'\ufeff\u0345\u200d \n\t") + ["<|endoftext|>", "'s", "word", "\0 \0"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(60))) for _ in range(500)]
+    encode = WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    ids, at = encode(pa.array(texts))
+    for k, text in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_of_nothing(spark):
     assert pack_documents(docs(spark, [])).count() == 0
 
