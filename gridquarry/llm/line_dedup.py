@@ -8,6 +8,8 @@ first occurrence stays: the smallest document id, then the place in the text.
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import random
 import uuid
 
@@ -34,9 +36,24 @@ TURN = 17
 COARSE, FINE = 16, 64
 #: Bytes of a character in the fixed-width encoding that shingles are cut out of.
 WIDE = 4
+#: While shingles are grouped, so many bits of groups of a task lie in the hash map that Spark looks into first. With its usual 16 the map
+#: is full after 4,096 lines, and every further shingle is looked up twice.
+MAP_BITS = 20
 _EDGES = " \t\r\f\u000b "
 
 
+@contextlib.contextmanager
+def _wide_map(spark: SparkSession):
+    """The first hash map of the writes inside has MAP_BITS."""
+    setting = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
+    before = spark.conf.get(setting, "16")
+    spark.conf.set(setting, str(MAP_BITS))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def _starts(wide: Column) -> Column:
     return F.sequence(F.lit(1), F.greatest(F.length(wide) - WIDE * (SHINGLE - 1), F.lit(1)), F.lit(WIDE))
 
@@ -72,18 +89,40 @@ def _named(lines: DataFrame) -> DataFrame:
     return wide.select("lid", "u", F.explode(_starts(F.col("u"))).alias("k")).select("lid", _name(F.col("u"), F.col("k")).alias("h"))
 
 
+def _binned(lines: DataFrame) -> DataFrame:
+    """Rows (lid, bin, o0, ...): the least hash of each bin in each order. The bin of a hash is its highest bits."""
+    bits = BINS.bit_length() - 1
+    return _named(lines).groupBy("lid", F.shiftrightunsigned("h", 64 - bits).alias("bin")).agg(*[F.min(_order("h", j)).alias(f"o{j}") for j in range(ORDERS)])
+
+
+def _bands(digests: list[Column]) -> Column:
+    """The bands, each from the exclusive or of the digests (value, bin) of its places: no bin is twice in a band."""
+    return F.array(*[F.xxhash64(F.lit(b), digest) for b, digest in enumerate(digests)])
+
+
+def _quick_signatures(distinct: DataFrame) -> DataFrame:
+    """As ``signatures``, at a fraction of the cost, but ``bands`` is null for lines with an empty bin, whose values have to be borrowed."""
+    own = _binned(distinct).select("lid", "bin", *[F.xxhash64(f"o{j}", "bin").alias(f"d{j}") for j in range(ORDERS)])
+
+    def digest(b: int) -> Column:
+        places = [(j, max(0, b * ROWS - j * BINS), min(BINS, (b + 1) * ROWS - j * BINS)) for j in range(ORDERS)]
+        parts = [F.when(F.col("bin").between(lo, hi - 1), F.col(f"d{j}")).otherwise(F.lit(0).cast("long")) for j, lo, hi in places if lo < hi]
+        return F.bit_xor(functools.reduce(lambda x, y: x.bitwiseXOR(y), parts))
+
+    whole = own.groupBy("lid").agg(F.count(F.lit(1)).alias("bins"), *[digest(b).alias(f"b{b}") for b in range(BANDS)])
+    return whole.select("lid", F.when(F.col("bins") == BINS, _bands([F.col(f"b{b}") for b in range(BANDS)])).alias("bands"))
+
+
 def signatures(distinct: DataFrame) -> DataFrame:
     """Rows (lid, bands) for rows (lid, line) that lie together by lid: nothing here needs a shuffle.
 
-    The bin of a hash is its highest bits, so a shingle is compared in the orders of its bin alone. A bin without shingles
-    takes the values of the nearest bin by exclusive or, which makes value k the minimum of one order of all hashes.
+    A shingle is compared in the orders of its bin alone. A bin without shingles takes the values of the nearest bin by
+    exclusive or, which makes value k the minimum of one order of all hashes.
     """
-    bits = BINS.bit_length() - 1
-    binned = _named(distinct).groupBy("lid", F.shiftrightunsigned("h", 64 - bits).alias("bin")).agg(*[F.min(_order("h", j)).alias(f"o{j}") for j in range(ORDERS)])
     places = [(b, j) for j in range(ORDERS) for b in range(BINS)][: BANDS * ROWS]
-    spread = binned.groupBy("lid").agg(*[F.min(F.when(F.col("bin") == b, F.col(f"o{j}"))).alias(f"v{b}_{j}") for j in range(ORDERS) for b in range(BINS)])
-    least = spread.select("lid", *[F.coalesce(*[F.col(f"v{b ^ x}_{j}") for x in range(BINS)]).alias(f"m{k}") for k, (b, j) in enumerate(places)])
-    return least.select("lid", F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
+    spread = _binned(distinct).groupBy("lid").agg(*[F.min(F.when(F.col("bin") == b, F.col(f"o{j}"))).alias(f"v{b}_{j}") for j in range(ORDERS) for b in range(BINS)])
+    own = spread.select("lid", *[F.xxhash64(F.coalesce(*[F.col(f"v{b ^ x}_{j}") for x in range(BINS)]), F.lit(b).cast("long")).alias(f"d{k}") for k, (b, j) in enumerate(places)])
+    return own.select("lid", _bands([functools.reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"d{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
 
 
 def _with_sets(members: DataFrame, lines: DataFrame, words: int) -> DataFrame:
@@ -96,7 +135,8 @@ def _with_sets(members: DataFrame, lines: DataFrame, words: int) -> DataFrame:
     parts = names.groupBy("lid", word.alias("word")).agg(F.count(F.lit(1)).alias("n"), F.bit_or(bit).alias("bits"))
     whole = parts.groupBy("lid").agg(F.sum("n").alias("size"), *[F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0)).alias(f"w{k}") for k in range(words)])
     own = some.select("lid", *[F.col("bands")[k].alias(f"b{k}") for k in range(BANDS)])
-    sets = cut(whole.join(own, "lid").select("lid", F.struct("size", *[f"w{k}" for k in range(words)], *[f"b{k}" for k in range(BANDS)]).alias("sig")), "sets")
+    with _wide_map(lines.sparkSession):
+        sets = cut(whole.join(own, "lid").select("lid", F.struct("size", *[f"w{k}" for k in range(words)], *[f"b{k}" for k in range(BANDS)]).alias("sig")), "sets")
     out = cut(members.join(sets, "lid"), "bands")
     discard(sets)
     return out
@@ -145,14 +185,24 @@ def _confirmed(pairs: DataFrame, lines: DataFrame, jaccard: float) -> DataFrame:
     return found
 
 
-def _store_lines(placed: DataFrame, name: str) -> None:
-    """A table of the distinct lines (lid, line, bands), bucketed by line: reading them for the exact check then needs no shuffle of their texts."""
+def _store_lines(placed: DataFrame, name: str) -> DataFrame:
+    """The distinct lines (lid, line, bands) as a table bucketed by line: reading them for the exact check then needs no shuffle of their texts.
+
+    All lines are signed the quick way first. Those that it leaves are read from the table and added once more with their bands.
+    """
     spark = placed.sparkSession
-    distinct = placed.select("lid", "line").groupBy("lid").agg(F.first("line").alias("line"))
-    signed = distinct.join(signatures(distinct), "lid")
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    with tidy(spark):
-        signed.write.format("parquet").option("compression", "zstd").option("path", f"{scratch_dir(spark)}/gridquarry/{name}").bucketBy(buckets, "lid").saveAsTable(name)
+
+    def store(lines: DataFrame, signed: DataFrame) -> None:
+        rows = lines.join(signed, "lid").select("lid", "line", "bands", F.col("bands").isNotNull().alias("signed"))
+        rows.write.format("parquet").mode("append").option("compression", "zstd").option("path", f"{scratch_dir(spark)}/gridquarry/{name}").bucketBy(buckets, "lid").saveAsTable(name)
+
+    distinct = placed.select("lid", "line").groupBy("lid").agg(F.first("line").alias("line"))
+    with tidy(spark), _wide_map(spark):
+        store(distinct, _quick_signatures(distinct))
+        left = spark.table(name).where("not signed").select("lid", "line")
+        store(left, signatures(left))
+    return spark.table(name).where("signed").select("lid", "line", "bands")
 
 
 def _shared_bands(lines: DataFrame) -> DataFrame:
@@ -187,8 +237,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = occurrences(docs, id_col, text_col).withColumn("lid", F.xxhash64("line"))
     name = f"gridquarry_lines_{uuid.uuid4().hex}"
     try:
-        _store_lines(placed, name)
-        lines = spark.table(name)
+        lines = _store_lines(placed, name)
         members = _shared_bands(lines)
         sets = _with_sets(members, lines, COARSE)
         few = sets.where(F.col("n") <= ALL_PAIRS).select("band", "k", "lid", "sig")

@@ -1,6 +1,6 @@
 import random
 
-from gridquarry.llm.line_dedup import brute_force, dedup_lines, op1_line_dedup, removed_lines
+from gridquarry.llm.line_dedup import _quick_signatures, brute_force, dedup_lines, op1_line_dedup, removed_lines, signatures
 
 DOCS = "doc_id long, text string, id string, row string, pos string, removed string"
 
@@ -80,3 +80,15 @@ def test_near_copies_in_a_template_with_many_variants_meet(spark):
         lines += [own, own[:-9] + some(9)]
     got, want = found_and_wanted(spark, lines)
     assert len(want) >= 400 and len(got & want) >= 0.99 * len(want) and got <= want
+
+
+def test_quick_signatures_are_those_with_borrowed_values_and_leave_lines_with_empty_bins(spark):
+    rng = random.Random(10)
+    some = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    texts = [some(n) for n in (1, 4, 9, 20, 60) for _ in range(8)] + [some(600) for _ in range(60)] + ["-" * 900]
+    lines = spark.createDataFrame(list(enumerate(texts)), "lid long, line string").repartition(3, "lid")
+    quick, full = ({r["lid"]: r["bands"] for r in of(lines).collect()} for of in (_quick_signatures, signatures))
+    assert len(quick) == len(full) == len(texts) and all(full.values())
+    assert all(quick[k] is None for k, t in enumerate(texts) if len(t) < 20) and quick[len(texts) - 1] is None
+    signed = [k for k, v in quick.items() if v is not None]
+    assert len(signed) >= 60 and all(quick[k] == full[k] for k in signed)
