@@ -10,6 +10,7 @@ whose number depends on the histogram alone, and each piece finds its place by i
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import zlib
@@ -27,9 +28,11 @@ CAPACITY = 2048
 STEP = 0.25
 #: A round takes at most so many configurations, all worth at least this share of the best one.
 COLUMNS, WORTH = 32, 0.999
-#: Bytes of text that are tokenised at a time, and words whose ids a worker remembers.
-SLICE_BYTES = 4 << 20
-CACHE_WORDS = 800_000
+#: Bytes of text that are tokenised at a time, rows that a worker gets at a time, and how many words, of how many bytes in all, it
+#: remembers. They bound the memory of a worker, which an executor has beside its heap for every core.
+SLICE_BYTES = 2 << 20
+BATCH_ROWS = 1024
+CACHE_WORDS, CACHE_BYTES = 800_000, 16 << 20
 #: New words are encoded so many at a time, with a NUL as a word of its own between them.
 JOINED, BETWEEN = 128, "\0"
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -50,17 +53,25 @@ def _slices(text: pa.Array):
 
 
 class WordTokens:
-    """Ids of whole texts by a tokenizer that drops white space and never joins across it: each distinct word is encoded once."""
+    """Ids of whole texts by a tokenizer that drops white space and never joins across it: each distinct word is encoded once.
+
+    The words and their ids are remembered as flat arrays, without an object for each.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
         self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.flat, self.ends = pa.array([], pa.string()), np.empty(0, "<u4"), np.zeros(1, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of ``words``; where a NUL is one id that no other word can have, many are encoded as one text."""
+    def _encoded(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of each of ``words``; where a NUL is one id that no other word can have, many are encoded as one text."""
+        known: dict[str, np.ndarray] = {}
         plain = [w for w in words if BETWEEN not in w] if len(self.between) == 1 else []
         texts = [f" {BETWEEN} ".join(plain[k : k + JOINED]) for k in range(0, len(plain), JOINED)]
         for k, e in enumerate(self.tokenizer.encode_batch(texts, add_special_tokens=False)):
@@ -68,30 +79,42 @@ class WordTokens:
             ends = [*np.flatnonzero(ids == self.between[0]).tolist(), len(ids)]
             begin = 0
             for w, end in zip(plain[k * JOINED : (k + 1) * JOINED], ends, strict=True):
-                self.known[w] = ids[begin:end].tobytes()
+                known[w] = ids[begin:end]
                 begin = end + 1
         for w in words if not plain else [w for w in words if BETWEEN in w]:
-            self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4")
+        return [known[w] for w in words]
+
+    def _learn(self, words: pa.Array) -> None:
+        """Remember ``words``, none of which is known, after those that are."""
+        flats, lens = [self.flat], [np.zeros(0, np.int64)]
+        for k in range(0, len(words), 4096):
+            some = self._encoded(words.slice(k, 4096).to_pylist())
+            flats.append(np.concatenate(some))
+            lens.append(np.fromiter(map(len, some), np.int64, len(some)))
+        self.flat = np.concatenate(flats)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(lens))])
+        self.words = pa.concat_arrays([self.words.cast(words.type), words])
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text's ids begin and end."""
         words = pc.ascii_split_whitespace(text)
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        fresh = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(fresh) > CACHE_WORDS + len(distinct):
-            self.known = {"": b""}
-            fresh = [w for w in distinct if w]
-        for k in range(0, len(fresh), 4096):
-            self._learn(fresh[k : k + 4096])
-        parts = [self.known[w] for w in distinct]
-        flat = np.frombuffer(b"".join(parts), "<u4")
-        lens = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        begins = np.cumsum(lens) - lens
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        each = lens[which]
+        distinct = coded.dictionary
+        size = lambda some: pc.sum(pc.binary_length(some)).as_py() or 0
+        place = pc.index_in(distinct, value_set=self.words.cast(distinct.type))
+        fresh = distinct.filter(pc.is_null(place))
+        if len(self.words) + len(fresh) > CACHE_WORDS or size(self.words) + size(fresh) > CACHE_BYTES:
+            self._forget()
+            place, fresh = pc.index_in(distinct, value_set=self.words.cast(distinct.type)), distinct
+        at = place.fill_null(-1).to_numpy().astype(np.int64)
+        at[at < 0] = len(self.words) + np.arange(len(fresh))
+        if len(fresh):
+            self._learn(fresh)
+        which = at[coded.indices.to_numpy(zero_copy_only=False)]
+        each = (self.ends[1:] - self.ends[:-1])[which]
         ends = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.repeat(begins[which] - ends[:-1], each) + np.arange(ends[-1])]
+        ids = self.flat[np.repeat(self.ends[which] - ends[:-1], each) + np.arange(ends[-1])]
         return ids, ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
 
 
@@ -273,9 +296,22 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int | None = None)
     return placed.withColumn("sequence_id", F.col("rank") + F.col("shift")).drop("rank", "lo", "hi", "shift")
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession):
+    """Python workers of the writes inside get BATCH_ROWS rows at a time: neither they nor the JVM hold the texts of more."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """One row per piece (doc_id, piece, start, length, ids_crc32, sequence_id, offset); an empty table gives no rows."""
-    pieces = cut(token_pieces(docs, id_col, text_col, capacity, tokenizer), "pieces")
+    with _small_batches(docs.sparkSession):
+        pieces = cut(token_pieces(docs, id_col, text_col, capacity, tokenizer), "pieces")
     return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

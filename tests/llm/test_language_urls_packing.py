@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 from gridquarry.llm import language_id
 from gridquarry.llm.language_id import identify, keep_identified, markup_language, markup_text, op4_language_id
+from gridquarry.llm import packing
 from gridquarry.llm.packing import WordTokens, cover, pack, pack_documents, solve
 from gridquarry.llm.url_filter import judge
 
@@ -151,6 +152,22 @@ def test_words_encoded_together_keep_the_ids_of_whole_texts():
         assert ids[at[k] : at[k + 1]].tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_what_a_worker_remembers_is_bounded_and_its_ids_stay_right(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 4000)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdef漢字", k=rng.randrange(1, 40)))
+    often = [word() for _ in range(20)]
+    encode = WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    for kind in (pa.string(), pa.large_string(), pa.string()):
+        for _ in range(8):
+            texts = [" ".join(word() if rng.random() < 0.5 else rng.choice(often) for _ in range(30)) for _ in range(3)]
+            ids, at = encode(pa.array(["", *texts], kind))
+            assert len(at) == 5 and at[1] == 0
+            for k, text in enumerate(texts, 1):
+                assert ids[at[k] : at[k + 1]].tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+            assert sum(len(w.encode()) for w in encode.words.to_pylist()) <= 4000 and len(encode.words) == len(encode.ends) - 1
+
+
 def test_packing_of_nothing(spark):
     assert pack_documents(docs(spark, [])).count() == 0
 
