@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,6 +18,8 @@ from pyspark.sql import Window as W
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 #: Rows that a window over one rank bucket holds on average; the bucket count follows from the counted rows.
 BUCKET_ROWS = 32768
+#: Rows that a Python worker gets at a time where they hold whole texts.
+BATCH_ROWS = 1024
 _own: dict[str, str] = {}
 
 
@@ -70,6 +76,37 @@ def discard(*cuts: DataFrame) -> None:
         remove(df.sparkSession, df.cut_path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Python workers of the writes inside get BATCH_ROWS rows at a time: neither they nor the JVM hold the texts of more."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def give_back() -> None:
+    """Return what this process has freed to the system: its allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow; after each task its worker, which waits for others to come, keeps no memory that is free."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

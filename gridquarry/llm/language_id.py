@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridquarry.llm.common import cut, discard, table
+from gridquarry.llm.common import cut, discard, lean, small_batches, table
 
 #: The models are fitted on the labelled rows with the smallest hashed ids, at most this many; every label among them is a language.
 TRAIN_ROWS = 3000
@@ -61,9 +61,10 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, train_rows:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells)), pa.array(cells), pa.array(n[cells]), pa.array([rows[lang]] + [0] * (len(cells) - 1))], names=["l", "cell", "n", "rows"])
 
     rows = labelled.join(F.broadcast(chosen), F.col("i").eqNullSafe(F.col("chosen"))).select("l", "t")
-    cells = rows.mapInArrow(count, "l string, cell long, n double, rows long").groupBy("l", "cell").agg(F.sum("n").alias("n"))
+    cells = rows.mapInArrow(lean(count), "l string, cell long, n double, rows long").groupBy("l", "cell").agg(F.sum("n").alias("n"))
     # The counts of at most ``train_rows`` rows come to the driver.
-    found = cells.groupBy("l").agg(F.collect_list(F.struct("cell", "n")).alias("cells")).collect()
+    with small_batches(docs.sparkSession):
+        found = cells.groupBy("l").agg(F.collect_list(F.struct("cell", "n")).alias("cells")).collect()
     langs = sorted(r["l"] for r in found)
     logs = np.full((CELLS, len(langs) + 1), -np.log(CELLS), np.float32)
     for r in found:
@@ -132,7 +133,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.FixedSizeListArray.from_arrays(got.ravel(), len(names)).cast(pa.list_(pa.float64()))], names=[*keep, "s"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    scored = cut(rows.mapInArrow(score, f"{schema}, s array<double>"), "language")
+    with small_batches(docs.sparkSession):
+        scored = cut(rows.mapInArrow(lean(score), f"{schema}, s array<double>"), "language")
     parts = F.split("host", r"\.")
     scored = scored.withColumn("domain", F.array_join(F.slice(parts, -F.least(F.size(parts), F.lit(2)), F.least(F.size(parts), F.lit(2))), "."))
     shares = [F.exp(F.col("s")[k] - _log_sum([F.col("s")[j] for j in range(len(langs))])) for k in range(len(langs))]

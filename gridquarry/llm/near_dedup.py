@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridquarry.llm.common import components, cut, table
+from gridquarry.llm.common import components, cut, lean, small_batches, table
 from gridquarry.llm.repeats import K1, K3, bitmap, cells_of, filter_bits, finish, may_repeat, pair, slices
 
 TREES, FIRST, LEVELS = 10, 2, 6
@@ -105,7 +105,8 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, k: int, lower: bool) ->
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("t"))
-    return cut(rows.mapInArrow(run, _SETS), "sets")
+    with small_batches(docs.sparkSession):
+        return cut(rows.mapInArrow(lean(run), _SETS), "sets")
 
 
 def _step(path: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -125,7 +126,7 @@ def first_paths(classes: DataFrame) -> DataFrame:
                     path = _step(path, signed[:, tree * LEVELS + level])
                 yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(np.full(batch.num_rows, FIRST, np.int32)), pa.array(np.full(batch.num_rows, tree, np.int32)), batch["c"], batch["n"], sketch], names=["path", "level", "tree", "c", "n", "signature"])
 
-    return classes.select("c", "n", "signature").mapInArrow(run, _PATHS)
+    return classes.select("c", "n", "signature").mapInArrow(lean(run), _PATHS)
 
 
 def branch(paths: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ def branch(paths: DataFrame) -> DataFrame:
                 path = _step(batch["path"].to_numpy().view(np.uint64), signed[np.arange(len(signed)), tree * LEVELS + level])
                 yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(level + np.int32(1), pa.int32()), *(batch[k] for k in ("tree", "c", "n", "signature"))], names=["path", "level", "tree", "c", "n", "signature"])
 
-    return paths.mapInArrow(run, _PATHS)
+    return paths.mapInArrow(lean(run), _PATHS)
 
 
 def tree_nodes(classes: DataFrame, node: int) -> DataFrame:
@@ -318,7 +319,7 @@ def _texts_of(docs: DataFrame, one: DataFrame, text_col: str) -> DataFrame:
             yield batch.filter(pa.array(may_repeat(flags.value, bits, batch["row"].to_numpy().view(np.uint64))))
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    some = docs.select(F.xxhash64(text).alias("row"), text.alias("t")).mapInArrow(run, "row long, t string")
+    some = docs.select(F.xxhash64(text).alias("row"), text.alias("t")).mapInArrow(lean(run), "row long, t string")
     return some.join(one, "row").select("c", "t")
 
 
@@ -334,7 +335,8 @@ def _again(wanted: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str, k
                 yield pa.RecordBatch.from_arrays([batch["c"].slice(a, b - a), pa.array([held(names[x:y]).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["c", "s"])
 
     # Copies of a class's text give its set again.
-    return cut(texts.mapInArrow(shingle, "c long, s binary").dropDuplicates(["c"]), what)
+    with small_batches(docs.sparkSession):
+        return cut(texts.mapInArrow(lean(shingle), "c long, s binary").dropDuplicates(["c"]), what)
 
 
 def _held(names: np.ndarray) -> np.ndarray:
@@ -358,7 +360,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text_col: str, k
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(sides.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "linked")
+    with small_batches(docs.sparkSession):
+        return cut(sides.select("a", "b", "sa", "sb").mapInArrow(lean(compare), "a long, b long"), "linked")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLES, percent: int = PERCENT, lower: bool = True, node: int = NODE) -> DataFrame:

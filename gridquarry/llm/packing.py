@@ -10,7 +10,6 @@ whose number depends on the histogram alone, and each piece finds its place by i
 
 from __future__ import annotations
 
-import contextlib
 import functools
 import os
 import zlib
@@ -21,17 +20,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridquarry.llm.common import BUCKET_ROWS, cut, prefix_sums, table
+from gridquarry.llm.common import BUCKET_ROWS, cut, lean, prefix_sums, small_batches, table
 
 CAPACITY = 2048
 #: The share of a length's demand that one round of the multiplicative-weights solver covers at most, or one sequence where that is more.
 STEP = 0.25
 #: A round takes at most so many configurations, all worth at least this share of the best one.
 COLUMNS, WORTH = 32, 0.999
-#: Bytes of text that are tokenised at a time, rows that a worker gets at a time, and how many words, of how many bytes in all, it
-#: remembers. They bound the memory of a worker, which an executor has beside its heap for every core.
+#: Bytes of text that are tokenised at a time, and how many words, of how many bytes in all, a worker remembers. They bound the memory
+#: of a worker, which an executor has beside its heap for every core.
 SLICE_BYTES = 2 << 20
-BATCH_ROWS = 1024
 CACHE_WORDS, CACHE_BYTES = 800_000, 16 << 20
 #: New words are encoded so many at a time, with a NUL as a word of its own between them.
 JOINED, BETWEEN = 128, "\0"
@@ -148,7 +146,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    return rows.mapInArrow(run, _PIECES)
+    return rows.mapInArrow(lean(run), _PIECES)
 
 
 def price(value: np.ndarray, capacity: int) -> list[list[int]]:
@@ -296,21 +294,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int | None = None)
     return placed.withColumn("sequence_id", F.col("rank") + F.col("shift")).drop("rank", "lo", "hi", "shift")
 
 
-@contextlib.contextmanager
-def _small_batches(spark: SparkSession):
-    """Python workers of the writes inside get BATCH_ROWS rows at a time: neither they nor the JVM hold the texts of more."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(BATCH_ROWS))
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
-
-
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """One row per piece (doc_id, piece, start, length, ids_crc32, sequence_id, offset); an empty table gives no rows."""
-    with _small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession):
         pieces = cut(token_pieces(docs, id_col, text_col, capacity, tokenizer), "pieces")
     return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
