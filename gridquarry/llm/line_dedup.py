@@ -32,8 +32,10 @@ _random = random.Random(41)
 _MASKS = [_random.getrandbits(64) - (1 << 63) for _ in range(ORDERS)]
 #: Order j of the hashes is that of their bits rotated by TURN * j, under mask j.
 TURN = 17
-#: Words of 64 bits in a line's bitmap: a coarse one for all lines that share a band, a fine one for those of large bands.
+#: Words of 64 bits in a line's bitmap: in the coarse one, and in the fine one of lines of large bands, which folds into it.
 COARSE, FINE = 16, 64
+#: Keeps rounding from ruling out a pair that lies exactly at the threshold.
+SLACK = 1e-9
 #: Bytes of a character in the fixed-width encoding that shingles are cut out of.
 WIDE = 4
 #: While shingles are grouped, so many bits of groups of a task lie in the hash map that Spark looks into first. With its usual 16 the map
@@ -120,38 +122,64 @@ def signatures(distinct: DataFrame) -> DataFrame:
     exclusive or, which makes value k the minimum of one order of all hashes.
     """
     places = [(b, j) for j in range(ORDERS) for b in range(BINS)][: BANDS * ROWS]
-    spread = _binned(distinct).groupBy("lid").agg(*[F.min(F.when(F.col("bin") == b, F.col(f"o{j}"))).alias(f"v{b}_{j}") for j in range(ORDERS) for b in range(BINS)])
-    own = spread.select("lid", *[F.xxhash64(F.coalesce(*[F.col(f"v{b ^ x}_{j}") for x in range(BINS)]), F.lit(b).cast("long")).alias(f"d{k}") for k, (b, j) in enumerate(places)])
+    orders = [f"o{j}" for j in range(ORDERS)]
+    held = _binned(distinct).groupBy("lid").agg(F.collect_list(F.struct("bin", *orders)).alias("held"))
+    # Lists, as columns for all bins to borrow from would be more code than the JVM compiles. No two bins are equally near to a third.
+    far = lambda b: lambda x: F.struct(x["bin"].bitwiseXOR(b).alias("far"), *[x[o].alias(o) for o in orders])
+    near = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long")), lambda b: F.array_min(F.transform("held", far(b))))
+    near = held.select("lid", near.alias("near"))
+    own = near.select("lid", *[F.xxhash64(F.col("near")[b][f"o{j}"], F.lit(b).cast("long")).alias(f"d{k}") for k, (b, j) in enumerate(places)])
     return own.select("lid", _bands([functools.reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"d{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
 
 
-def _with_sets(members: DataFrame, lines: DataFrame, words: int) -> DataFrame:
-    """``members`` with sig: the number of the line's shingles, its bitmap in ``words`` words and its bands."""
-    wanted = members.select("lid").distinct()
-    some = lines.join(wanted, "lid", "left_semi")
-    names = _named(some)
-    word = F.pmod("h", F.lit(words))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 40).bitwiseAND(F.lit(63)).cast("int"))
-    parts = names.groupBy("lid", word.alias("word")).agg(F.count(F.lit(1)).alias("n"), F.bit_or(bit).alias("bits"))
-    whole = parts.groupBy("lid").agg(F.sum("n").alias("size"), *[F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0)).alias(f"w{k}") for k in range(words)])
+def _bit() -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 40).bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _coarse(lines: DataFrame) -> DataFrame:
+    """Rows (lid, size, c0, ...) for rows (lid, line): the number of a line's shingles and the words of its coarse bitmap."""
+    words = [F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"c{k}") for k in range(COARSE)]
+    return _named(lines).select("lid", F.pmod("h", F.lit(COARSE)).cast("int").alias("word"), _bit().alias("bit")).groupBy("lid").agg(F.count(F.lit(1)).alias("size"), *words)
+
+
+def _only(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``lines`` whose lid ``wanted`` has. Its ids are hashed bucket by bucket, so the texts of all lines are not sorted."""
+    return lines.join(wanted.select("lid").distinct().hint("shuffle_hash"), "lid", "left_semi")
+
+
+def _with_sets(members: DataFrame, lines: DataFrame) -> DataFrame:
+    """``members`` with sig: the number of the line's shingles, its bitmaps (c0, ... and ``fine``) and its bands."""
+    some = _only(lines, members)
+    parts = _named(some).groupBy("lid", F.pmod("h", F.lit(FINE)).cast("int").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.bit_or(_bit()).alias("bits"))
+    # A list, as a column for each word would be more code than the JVM compiles.
+    whole = parts.groupBy("lid").agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(FINE - 1)), lambda k: F.coalesce(F.element_at("words", k), F.lit(0).cast("long")))
+    whole = whole.select("lid", "size", every.alias("fine"))
     own = some.select("lid", *[F.col("bands")[k].alias(f"b{k}") for k in range(BANDS)])
+    coarse = [functools.reduce(lambda x, y: x.bitwiseOR(y), [F.col("fine")[j] for j in range(k, FINE, COARSE)]).alias(f"c{k}") for k in range(COARSE)]
     with _wide_map(lines.sparkSession):
-        sets = cut(whole.join(own, "lid").select("lid", F.struct("size", *[f"w{k}" for k in range(words)], *[f"b{k}" for k in range(BANDS)]).alias("sig")), "sets")
+        sets = cut(whole.join(own, "lid").select("lid", F.struct("size", *coarse, "fine", *[f"b{k}" for k in range(BANDS)]).alias("sig")), "sets")
     out = cut(members.join(sets, "lid"), "bands")
     discard(sets)
     return out
 
 
-def _open(words: int, jaccard: float) -> Column:
-    """Whether the bitmaps of gp and gq leave it open that the sets are alike enough.
+def _open(differ: Column, jaccard: float) -> Column:
+    """Whether ``differ`` bits that only one of the bitmaps of gp and gq has leave it open that the sets are alike enough.
 
-    A bit that only one bitmap has stands for at least one shingle that only its line has, so what both share is at most the
-    number of shingles less those bits. No pair at the threshold is lost.
+    Each such bit stands for at least one shingle that only one line has. Of s shingles in all the lines then share at most
+    (s - differ) / 2, so the similarity is at most (s - differ) / (s + differ). No pair at the threshold is lost.
     """
-    only = lambda x, y: sum((F.bit_count(F.col(f"{x}.w{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}.w{k}")))) for k in range(1, words)), F.bit_count(F.col(f"{x}.w0").bitwiseAND(F.bitwise_not(F.col(f"{y}.w0")))))
-    p, q = only("gp", "gq"), only("gq", "gp")
-    most = F.least(F.col("gp.size") - p, F.col("gq.size") - q)
-    return most >= F.lit(jaccard) * (most + p + q)
+    return F.lit(1 + jaccard) * differ <= F.lit(1 - jaccard + SLACK) * (F.col("gp.size") + F.col("gq.size"))
+
+
+def _coarse_differ() -> Column:
+    return functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"gp.c{k}").bitwiseXOR(F.col(f"gq.c{k}"))) for k in range(COARSE)])
+
+
+def _fine_differ() -> Column:
+    """Said over arrays, which keeps the join out of whole-stage code: in one method all the words are too much for the JVM to compile."""
+    return F.aggregate(F.zip_with("gp.fine", "gq.fine", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
 
 
 def _first_meeting() -> Column:
@@ -162,26 +190,37 @@ def _first_meeting() -> Column:
     return ~met
 
 
-def _meet(one: DataFrame, other: DataFrame, on: list[str], condition: Column, words: int, jaccard: float) -> DataFrame:
-    """Pairs (a, b), a < b, of lines of one band whose bitmaps do not rule them out."""
+def _meet(one: DataFrame, other: DataFrame, on: list[str], condition: Column, jaccard: float) -> DataFrame:
+    """Pairs (a, b), a < b, of lines of one band that meet ``condition`` and whose bitmaps do not rule them out."""
     left = one.withColumnsRenamed({"lid": "p", "sig": "gp"})
     right = other.withColumnsRenamed({"lid": "q", "sig": "gq"})
-    met = left.join(right, on).where(condition & _open(words, jaccard))
+    met = left.join(right, on).where(condition & _open(_coarse_differ(), jaccard) & _open(_fine_differ(), jaccard))
     return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def _confirmed(pairs: DataFrame, lines: DataFrame, jaccard: float) -> DataFrame:
-    """The pairs whose sets of shingles are alike enough; only the lines of pairs are read into a shuffle."""
+    """The pairs whose sets of shingles are alike enough; only the texts of pairs that coarse bitmaps leave open are read into a shuffle."""
+    lids = lambda df: df.select(F.col("a").alias("lid")).unionAll(df.select(F.col("b").alias("lid")))
+    texts = lines.select("lid", "line")
     pairs = cut(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("lid")).unionAll(pairs.select(F.col("b").alias("lid"))).distinct()
-    texts = cut(lines.select("lid", "line").join(wanted, "lid", "left_semi"), "texts")
+    with _wide_map(lines.sparkSession):
+        bits = cut(_coarse(_only(texts, lids(pairs))), "bits")
+    known = bits.select("lid", F.struct("size", *[f"c{k}" for k in range(COARSE)]).alias("g"))
+    met = pairs.join(known.withColumnsRenamed({"lid": "a", "g": "gp"}), "a").join(known.withColumnsRenamed({"lid": "b", "g": "gq"}), "b")
+    left = cut(met.where(_open(_coarse_differ(), jaccard)).select("a", "b"), "open")
+    discard(pairs, bits)
+    texts = cut(_only(texts, lids(left)), "texts")
     wide = texts.select("lid", F.encode("line", "UTF-32").alias("u"))
-    both = pairs.join(wide.withColumnsRenamed({"lid": "a", "u": "ua"}), "a").join(wide.withColumnsRenamed({"lid": "b", "u": "ub"}), "b")
-    compared = both.select("a", "b", shingles(F.col("ua")).alias("sa"), shingles(F.col("ub")).alias("sb"))
-    # Counted before they are judged: a filter would be moved below and name the shingles again.
-    counted = cut(compared.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), F.size(F.array_union("sa", "sb")).alias("whole")), "compared")
-    found = counted.where(F.col("common") >= F.lit(jaccard) * F.col("whole")).select("a", "b")
-    discard(pairs, texts)
+    both = left.join(wide.withColumnsRenamed({"lid": "a", "u": "ua"}), "a").join(wide.withColumnsRenamed({"lid": "b", "u": "ub"}), "b")
+    named = both.select("a", "b", shingles(F.col("ua")).alias("sa"), shingles(F.col("ub")).alias("sb"))
+    counted = named.select("a", "b", "sa", "sb", F.size(F.array_intersect("sa", "sb")).alias("common"))
+    # Repeats only add to the sizes, so a pair that is alike enough by them needs no union.
+    most = F.size("sa") + F.size("sb") - F.col("common")
+    whole = F.when(F.col("common") >= F.lit(jaccard) * most, most).otherwise(F.size(F.array_union("sa", "sb")))
+    # Written before they are judged: a filter would be moved below and name the shingles again.
+    compared = cut(counted.select("a", "b", "common", whole.alias("whole")), "compared")
+    found = compared.where(F.col("common") >= F.lit(jaccard) * F.col("whole")).select("a", "b")
+    discard(left, texts)
     return found
 
 
@@ -195,7 +234,7 @@ def _store_lines(placed: DataFrame, name: str) -> DataFrame:
 
     def store(lines: DataFrame, signed: DataFrame) -> None:
         rows = lines.join(signed, "lid").select("lid", "line", "bands", F.col("bands").isNotNull().alias("signed"))
-        rows.write.format("parquet").mode("append").option("compression", "zstd").option("path", f"{scratch_dir(spark)}/gridquarry/{name}").bucketBy(buckets, "lid").saveAsTable(name)
+        rows.write.format("parquet").mode("append").option("compression", "zstd").option("path", f"{scratch_dir(spark)}/gridquarry/{name}").partitionBy("signed").bucketBy(buckets, "lid").saveAsTable(name)
 
     distinct = placed.select("lid", "line").groupBy("lid").agg(F.first("line").alias("line"))
     with tidy(spark), _wide_map(spark):
@@ -208,18 +247,19 @@ def _store_lines(placed: DataFrame, name: str) -> DataFrame:
 def _shared_bands(lines: DataFrame) -> DataFrame:
     """Rows (lid, band, k, n) of the bands that n > 1 lines have; k is the band's number."""
     banded = lines.select("lid", F.posexplode("bands").alias("k", "band"))
-    shared = cut(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    with _wide_map(lines.sparkSession):
+        shared = cut(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     out = cut(banded.join(shared, "band"), "members")
     discard(shared)
     return out
 
 
-def _blocks(many: DataFrame, linked: DataFrame, lines: DataFrame, jaccard: float) -> DataFrame:
+def _blocks(many: DataFrame, linked: DataFrame, jaccard: float) -> DataFrame:
     """Pairs of lines of large bands that no link joins yet: each line outside the band's largest component meets all of other components."""
     roots = cut(components(linked, "a", "b").withColumnRenamed("node", "lid"), "roots")
-    rooted = cut(many.join(roots, "lid", "left").select("band", "k", "lid", "n", F.coalesce("root", "lid").alias("root")), "rooted")
+    rooted = cut(many.join(roots, "lid", "left").select("band", "k", "lid", "n", "sig", F.coalesce("root", "lid").alias("root")), "rooted")
     homes = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(F.max(F.struct("m", "root")).alias("h"))
-    rooted = _with_sets(rooted.join(homes, "band").where("n > h.m"), lines, FINE)
+    rooted = rooted.join(homes, "band").where("n > h.m")
     # At least 1, as filters on the blocks may run before the one above.
     outside = F.greatest(F.ceil((F.col("n") - F.col("h.m")) / BLOCK).cast("int"), F.lit(1))
     whole = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -228,7 +268,7 @@ def _blocks(many: DataFrame, linked: DataFrame, lines: DataFrame, jaccard: float
     each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     one = dealt.where("not home").select("band", "k", "lid", "sig", "root", own("outside").alias("i"), each("whole").alias("j"))
     other = dealt.select("band", "lid", "sig", F.col("root").alias("_root"), "home", each("outside").alias("i"), own("whole").alias("j"))
-    return _meet(one, other, ["band", "i", "j"], (F.col("_root") != F.col("root")) & (F.col("home") | (F.col("p") < F.col("q"))) & _first_meeting(), FINE, jaccard)
+    return _meet(one, other, ["band", "i", "j"], (F.col("_root") != F.col("root")) & (F.col("home") | (F.col("p") < F.col("q"))) & _first_meeting(), jaccard)
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float = JACCARD) -> DataFrame:
@@ -239,19 +279,21 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     try:
         lines = _store_lines(placed, name)
         members = _shared_bands(lines)
-        sets = _with_sets(members, lines, COARSE)
-        few = sets.where(F.col("n") <= ALL_PAIRS).select("band", "k", "lid", "sig")
-        many = sets.where(F.col("n") > ALL_PAIRS).select("band", "lid", "sig")
-        turn = F.xxhash64("lid", "band")
-        hubs = many.groupBy("band").agg(F.min_by("lid", turn).alias("x"), F.max_by("lid", turn).alias("y"))
-        hubs = many.join(hubs.select("band", F.explode(F.array("x", "y")).alias("lid")), ["band", "lid"])
-        star = _meet(many, hubs, ["band"], F.col("p") != F.col("q"), COARSE, jaccard)
-        once = _meet(few, few.drop("k"), ["band"], (F.col("p") < F.col("q")) & _first_meeting(), COARSE, jaccard)
-        linked = _confirmed(once.unionAll(star), lines, jaccard)
-        discard(sets)
+        few = members.where(F.col("n") <= ALL_PAIRS).select("band", F.col("lid").alias("a"))
+        pairs = few.join(few.withColumnRenamed("a", "b"), "band").where("a < b").select("a", "b")
         large = members.where(F.col("n") > ALL_PAIRS)
-        if not large.isEmpty():
-            linked = linked.unionAll(_confirmed(_blocks(large, linked, lines, jaccard), lines, jaccard))
+        if large.isEmpty():
+            linked = _confirmed(pairs, lines, jaccard)
+        else:
+            sets = _with_sets(large, lines)
+            many = sets.select("band", "lid", "sig")
+            turn = F.xxhash64("lid", "band")
+            hubs = many.groupBy("band").agg(F.min_by("lid", turn).alias("x"), F.max_by("lid", turn).alias("y"))
+            hubs = many.join(hubs.select("band", F.explode(F.array("x", "y")).alias("lid")), ["band", "lid"])
+            star = _meet(many, hubs, ["band"], F.col("p") != F.col("q"), jaccard)
+            linked = _confirmed(pairs.unionAll(star), lines, jaccard)
+            linked = linked.unionAll(_confirmed(_blocks(sets, linked, jaccard), lines, jaccard))
+            discard(sets)
         roots = components(linked, "a", "b").withColumnRenamed("node", "lid")
         out = placed.select("id", "row", "pos", "lid").join(roots, "lid", "left").select("id", "row", "pos", F.coalesce("root", "lid").alias("root"))
         out = cut(out, "lines")

@@ -1,6 +1,9 @@
 import random
 
-from gridquarry.llm.line_dedup import _quick_signatures, brute_force, dedup_lines, op1_line_dedup, removed_lines, signatures
+from pyspark.sql import functions as F
+
+from gridquarry.llm import line_dedup
+from gridquarry.llm.line_dedup import _open, _quick_signatures, brute_force, dedup_lines, op1_line_dedup, removed_lines, signatures
 
 DOCS = "doc_id long, text string, id string, row string, pos string, removed string"
 
@@ -92,3 +95,22 @@ def test_quick_signatures_are_those_with_borrowed_values_and_leave_lines_with_em
     assert all(quick[k] is None for k, t in enumerate(texts) if len(t) < 20) and quick[len(texts) - 1] is None
     signed = [k for k, v in quick.items() if v is not None]
     assert len(signed) >= 60 and all(quick[k] == full[k] for k in signed)
+
+
+def test_pairs_of_small_bands_are_found_without_fine_bitmaps(spark, monkeypatch):
+    def unwanted(*_):
+        raise AssertionError("no band here is large")
+
+    monkeypatch.setattr(line_dedup, "_with_sets", unwanted)
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    lines = [x for k in range(60) for own in [some(120)] for x in (own, own[: 119 - k % 40] + "#" + own[120 - k % 40 :], own[:60] + some(60))]
+    got, want = found_and_wanted(spark, lines)
+    assert len(want) >= 60 and got == want
+
+
+def test_bitmaps_rule_out_only_what_cannot_reach_the_threshold(spark):
+    cases = [(9, 9, 2), (9, 9, 3), (10, 8, 2), (45, 45, 10), (45, 45, 11), (40, 50, 10), (7, 7, 0), (90_000_000, 90_000_000, 20_000_000)]
+    rows = spark.createDataFrame([((p,), (q,), d) for p, q, d in cases], "gp struct<size: long>, gq struct<size: long>, d long")
+    got = [r[0] for r in rows.select(_open(F.col("d"), 0.8)).collect()]
+    assert got == [5 * (p + q - d) >= 4 * (p + q + d) for p, q, d in cases]
